@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -226,7 +225,3 @@ def batches(frames: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
         step = max(1, int(limit // sizes))
         for k in range(0, b.num_rows, step):
             yield b.slice(k, step)
-
-
-def schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
