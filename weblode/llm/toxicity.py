@@ -3,9 +3,9 @@
 Kernel. Two words are compared by the string subsequence kernel of order three: the sum over shared subsequences of three letters, gaps
 allowed, of decay ** (span in one + span in the other), normalised. A letter put into an insult, or left out of it, keeps most of its
 subsequences, so it stays close. Runs of three or more single letters ("i d i o t") count as one further word. A sentence is the sum over its
-words of that kernel to the power `sharp` (a power of a kernel is a kernel), so one strong resemblance outweighs many faint ones.
+different words of that kernel to the power `sharp` (a power of a kernel is a kernel), so one strong resemblance outweighs many faint ones.
 
-Model. Landmarks are words of the training texts: those that most tell toxic from other documents, and frequent ones. The landmarks' kernel
+Model. Landmarks are words of the training texts: those that most tell toxic from other documents. The landmarks' kernel
 matrix gives the Nystroem map; on it a linear SVM is trained by dual coordinate descent. Labels belong to documents, not sentences, so the
 training is the multiple-instance form: every sentence of a clean document is a clean example, and of each toxic document the sentence that
 the last model finds worst is the toxic one, in a few rounds. A sigmoid fitted on the documents turns the worst sentence's margin into a
@@ -42,6 +42,8 @@ SENTENCE, EDGE = r"[.!?\n]+", "\"'()[]{}<>,;:*_-~`"
 THRESHOLD = 0.7
 #: Words longer than this are compared by their overlapping parts of this length.
 LONGEST_WORD = 24
+#: A sentence of more words is cut into parts of this many, so that many faint resemblances don't add up.
+PART = 32
 
 
 def held_out(doc_id):
@@ -188,10 +190,13 @@ class Sentences:
         self.row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
         words = pc.utf8_split_whitespace(parts.flatten())
         counts = np.diff(words.offsets.to_numpy())
+        parts_of = np.maximum(1, -(-counts // PART))
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         coded = pc.dictionary_encode(words.flatten())
         self.words = coded.dictionary.to_pylist()
         self.code = coded.indices.to_numpy().astype(np.int64)
-        self.sentence = np.repeat(np.arange(len(self.row)), counts)
+        self.sentence = np.repeat(np.cumsum(parts_of) - parts_of, counts) + place // PART
+        self.row = np.repeat(self.row, parts_of)
         single = np.fromiter((len(w.strip(EDGE)) == 1 for w in self.words), bool, len(self.words))[self.code] if len(self.code) else np.zeros(0, bool)
         near = np.flatnonzero(single[2:] & single[1:-1] & single[:-2]) if len(single) > 2 else np.zeros(0, np.int64)
         extra = []
@@ -206,6 +211,9 @@ class Sentences:
                     self.words.append(w)
             self.code = np.concatenate([self.code, [known[w] for _, w in extra]])
             self.sentence = np.concatenate([self.sentence, [s for s, _ in extra]])
+        if len(self.code):
+            once = np.unique(self.sentence * len(self.words) + self.code)
+            self.sentence, self.code = once // len(self.words), once % len(self.words)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -254,16 +262,14 @@ def fit(texts: list[str], toxic: list[bool], landmarks: int = 64, decay: float =
     if not both:
         return None
     told = {w: a / y.sum() * np.log((a + 0.1) / y.sum() / ((b + 0.1) / (~y).sum())) for w, (a, b) in both.items()}
-    best = sorted(told, key=lambda w: (-told[w], w))[: landmarks * 3 // 4]
-    common = [w for w in sorted(both, key=lambda w: (-both[w].sum(), w)) if w not in set(best)][: landmarks - len(best)]
-    marks = Landmarks(sorted(best) + common, decay)
+    marks = Landmarks(sorted(told, key=lambda w: (-told[w], w))[:landmarks], decay)
     values = np.concatenate([marks.values(clean[k : k + 20000]) for k in range(0, len(clean), 20000)]) ** sharp
     own, vectors = np.linalg.eigh(marks.values(marks.words) ** sharp)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(own, 1e-6))) @ vectors.T
     phi = np.zeros((len(s.row), len(marks.words)))
     for j in range(len(marks.words)):
         phi[:, j] = np.bincount(s.sentence, values[s.code, j], minlength=len(s.row))
-    phi = np.column_stack([phi @ root, np.ones(len(phi))])
+    phi = np.column_stack([phi @ root, np.full(len(phi), 3.0)])
     # clean sentences that no landmark resembles are all alike: a bounded share of them is enough, as each further copy only repeats the constraint
     of_toxic, starts = y[s.row], np.searchsorted(s.row, np.arange(len(y)))
     busy = np.argsort(-np.abs(phi[:, :-1]).sum(axis=1) * ~of_toxic, kind="stable")[:20000]
@@ -275,10 +281,10 @@ def fit(texts: list[str], toxic: list[bool], landmarks: int = 64, decay: float =
         at = np.concatenate([worst, negative]).astype(np.int64)
         side = np.concatenate([np.ones(len(worst)), -np.ones(len(negative))])
         w = _svm(phi[at], side, np.where(side > 0, 10.0, 10.0 * min(1.0, 4 * len(worst) / max(1, len(negative)))), 12)
-    top = np.full(len(y), w[-1])
+    top = np.full(len(y), 3.0 * w[-1])
     np.maximum.at(top, s.row, phi @ w)
     slope, offset = _sigmoid(top, np.where(y, 1, -1))
-    return Model(marks, root @ w[:-1], float(w[-1]), slope, offset, sharp)
+    return Model(marks, root @ w[:-1], 3.0 * float(w[-1]), slope, offset, sharp)
 
 
 def margins(model: Model, texts: pa.Array) -> np.ndarray:
