@@ -1,8 +1,8 @@
 """Toxicity: a support vector machine on a subsequence string kernel with Nystroem landmarks.
 
 Kernel. Two words are compared by the string subsequence kernel of order three: the sum over shared subsequences of three letters, gaps
-allowed, of decay ** (span in one + span in the other), normalised. A letter put into an insult, or left out of it, keeps most of its
-subsequences, so it stays close. Runs of three or more single letters ("i d i o t") count as one further word. A sentence is the sum over its
+allowed within a span of seven, of decay ** (span in one + span in the other), normalised. A letter put into an insult, or left out of it, keeps most of its
+subsequences, so it stays close; marks within a word are ignored. Runs of three or more single letters ("i d i o t") count as one further word. A sentence is the sum over its
 different words of that kernel to the power `sharp` (a power of a kernel is a kernel), so one strong resemblance outweighs many faint ones.
 
 Model. Landmarks are words of the training texts: those that most tell toxic from other documents. The landmarks' kernel
@@ -22,6 +22,7 @@ label: every score is 0. Empty table: no rows. lang, source and other columns ar
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -38,8 +39,10 @@ from weblode.llm.common import batches, table
 SIZE = 64
 #: Words whose share of the margin a worker keeps.
 WORDS = 1_500_000
-SENTENCE, EDGE = r"[.!?\n]+", "\"'()[]{}<>,;:*_-~`"
+SENTENCE, MARKS = r"[.!?]+\s|\n", str.maketrans("", "", "\"'()[]{}<>,;:*_-~`.!?/|+")
 THRESHOLD = 0.7
+#: Letters that a subsequence may span, and the kernel value under which a resemblance counts as none.
+SPAN, FAINT = 7, 0.2
 #: Words longer than this are compared by their overlapping parts of this length.
 LONGEST_WORD = 24
 #: A sentence of more words is cut into parts of this many, so that many faint resemblances don't add up.
@@ -50,28 +53,25 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def letters(word: str) -> np.ndarray:
-    out = []
-    for ch in word:
-        c = ord(ch)
-        if 97 <= c <= 122:
-            out.append(c - 96)
-        elif 48 <= c <= 57:
-            out.append(27)
-        else:
-            out.append(28 + c % 36)
-    return np.array(out, np.int64)
+def letters(words: list[str], n: int) -> np.ndarray:
+    """Codes of the letters of words that all have n."""
+    c = np.array(words, f"U{n}").view(np.uint32).reshape(-1, n)
+    return np.where((c >= 97) & (c <= 122), c - 96, np.where((c >= 48) & (c <= 57), 27, 28 + c % 36)).astype(np.int32)
+
+
+def bare(word: str) -> str:
+    return word if word.isalnum() else word.translate(MARKS)
 
 
 def pieces(word: str) -> list[str]:
-    word = word.strip(EDGE)
+    word = bare(word)
     if len(word) <= LONGEST_WORD:
         return [word]
     return [word[k : k + LONGEST_WORD] for k in range(0, len(word) - LONGEST_WORD // 2, LONGEST_WORD // 2)]
 
 
 class Kernel:
-    """Subsequence features of words of one length at a time: codes of all three-letter subsequences and the weight of each place."""
+    """Subsequence features of words of one length at a time: codes of the three-letter subsequences and the weight of each place."""
 
     def __init__(self, decay: float) -> None:
         self.decay = decay
@@ -79,8 +79,8 @@ class Kernel:
 
     def of_length(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n not in self.places:
-            at = np.array(list(combinations(range(n), 3)), np.int64).reshape(-1, 3)
-            self.places[n] = at, self.decay ** (at[:, 2] - at[:, 0] + 1.0)
+            at = np.array([x for x in combinations(range(n), 3) if x[2] - x[0] < SPAN], np.int64).reshape(-1, 3)
+            self.places[n] = at, (self.decay ** (at[:, 2] - at[:, 0] + 1.0)).astype(np.float32)
         return self.places[n]
 
     def codes(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +99,7 @@ class Kernel:
 
 
 class Landmarks:
-    """Normalised kernel values of words with each landmark."""
+    """Normalised kernel values of words with each landmark; values that are surely under FAINT are zero."""
 
     def __init__(self, words: list[str], decay: float) -> None:
         self.words, self.kernel = words, Kernel(decay)
@@ -107,14 +107,14 @@ class Landmarks:
         found: list[dict[int, float]] = []
         for w in words:
             feats: Counter = Counter()
-            codes, weight = self.kernel.codes(letters(w)[None, :])
+            codes, weight = self.kernel.codes(letters([w], len(w)))
             for c, x in zip(codes[0].tolist(), weight.tolist(), strict=True):
                 feats[c] += x
             norm = sum(x * x for x in feats.values()) ** 0.5
             found.append({c: x / norm for c, x in feats.items()})
         every = sorted({c for f in found for c in f})
         self.row[every] = np.arange(1, len(every) + 1)
-        self.table = np.zeros((len(every) + 1, len(words)), np.float64)
+        self.table = np.zeros((len(every) + 1, len(words)), np.float32)
         for j, f in enumerate(found):
             for c, x in f.items():
                 self.table[self.row[c], j] = x
@@ -127,17 +127,22 @@ class Landmarks:
             if len(w) >= 3:
                 by.setdefault(len(w), []).append(k)
         for n, at in by.items():
-            step = max(16, 400_000 // len(self.kernel.of_length(n)[1]))
+            weight = self.kernel.of_length(n)[1]
+            step = max(16, 200_000 // len(weight))
+            least = np.sqrt(np.float64((weight * weight).sum()))
             for k in range(0, len(at), step):
-                some = at[k : k + step]
-                codes, weight = self.kernel.codes(np.stack([letters(words[j]) for j in some]))
+                some = np.array(at[k : k + step])
+                codes, _ = self.kernel.codes(letters([words[j] for j in some.tolist()], n))
                 rows = self.row[codes]
                 r, c = np.nonzero(rows)
                 if not len(r):
                     continue
-                hit, first = np.unique(r, return_index=True)
-                part = np.add.reduceat(self.table[rows[r, c]] * weight[c][:, None], first)
-                out[np.array(some)[hit]] = part / self.kernel.norms(codes[hit], weight)[:, None]
+                hit = np.flatnonzero(np.bincount(r, minlength=len(some)))
+                part = np.add.reduceat(self.table[rows[r, c]] * weight[c][:, None], np.searchsorted(r, hit))
+                near = part.max(axis=1) >= FAINT * least  # equal subsequences only make the norm larger
+                if near.any():
+                    hit, part = hit[near], part[near]
+                    out[some[hit]] = part / self.kernel.norms(codes[hit], weight)[:, None]
         return out
 
 
@@ -172,7 +177,7 @@ def spelled(words: list[str]) -> list[str]:
     """Words made of runs of three or more single letters."""
     out, run = [], []
     for w in [*words, ""]:
-        w = w.strip(EDGE)
+        w = bare(w)
         if len(w) == 1:
             run.append(w)
         else:
@@ -197,7 +202,7 @@ class Sentences:
         self.code = coded.indices.to_numpy().astype(np.int64)
         self.sentence = np.repeat(np.cumsum(parts_of) - parts_of, counts) + place // PART
         self.row = np.repeat(self.row, parts_of)
-        single = np.fromiter((len(w.strip(EDGE)) == 1 for w in self.words), bool, len(self.words))[self.code] if len(self.code) else np.zeros(0, bool)
+        single = np.fromiter((len(w) < 4 and len(bare(w)) == 1 for w in self.words), bool, len(self.words))[self.code] if len(self.code) else np.zeros(0, bool)
         near = np.flatnonzero(single[2:] & single[1:-1] & single[:-2]) if len(single) > 2 else np.zeros(0, np.int64)
         extra = []
         for s in np.unique(self.sentence[near]).tolist() if len(near) else []:
@@ -212,7 +217,8 @@ class Sentences:
             self.code = np.concatenate([self.code, [known[w] for _, w in extra]])
             self.sentence = np.concatenate([self.sentence, [s for s, _ in extra]])
         if len(self.code):
-            once = np.unique(self.sentence * len(self.words) + self.code)
+            once = np.sort(self.sentence * len(self.words) + self.code)
+            once = once[np.concatenate([[True], once[1:] != once[:-1]])]
             self.sentence, self.code = once // len(self.words), once % len(self.words)
 
 
@@ -245,13 +251,13 @@ def _sigmoid(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(b[0], 1e-3)), float(b[1])
 
 
-def fit(texts: list[str], toxic: list[bool], landmarks: int = 64, decay: float = 0.7, sharp: int = 4, rounds: int = 4) -> Model | None:
-    """None if a class is missing."""
+def fit(texts: list[str], toxic: list[bool], landmarks: int = 64, decay: float = 0.85, sharp: int = 3, rounds: int = 4) -> Model | None:
+    """None if a class is missing. After the rounds the worst sentences are learnt once more, each also with a letter put into its words."""
     y = np.array(toxic, bool)
     if y.all() or not y.any():
         return None
     s = Sentences(pa.array(texts, pa.string()))
-    clean = [w.strip(EDGE)[:LONGEST_WORD] for w in s.words]
+    clean = [bare(w)[:LONGEST_WORD] for w in s.words]
     doc_word = np.unique(np.stack([s.row[s.sentence], s.code]), axis=1)
     in_toxic = np.bincount(doc_word[1], y[doc_word[0]], minlength=len(clean))
     in_clean = np.bincount(doc_word[1], ~y[doc_word[0]], minlength=len(clean))
@@ -266,21 +272,36 @@ def fit(texts: list[str], toxic: list[bool], landmarks: int = 64, decay: float =
     values = np.concatenate([marks.values(clean[k : k + 20000]) for k in range(0, len(clean), 20000)]) ** sharp
     own, vectors = np.linalg.eigh(marks.values(marks.words) ** sharp)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(own, 1e-6))) @ vectors.T
-    phi = np.zeros((len(s.row), len(marks.words)))
-    for j in range(len(marks.words)):
-        phi[:, j] = np.bincount(s.sentence, values[s.code, j], minlength=len(s.row))
-    phi = np.column_stack([phi @ root, np.full(len(phi), 3.0)])
+
+    def mapped(t: Sentences, value: np.ndarray) -> np.ndarray:
+        sums = np.stack([np.bincount(t.sentence, value[t.code, j], minlength=len(t.row)) for j in range(len(marks.words))], 1)
+        return np.column_stack([sums @ root, np.full(len(sums), 3.0)])
+
+    phi = mapped(s, values)
     # clean sentences that no landmark resembles are all alike: a bounded share of them is enough, as each further copy only repeats the constraint
     of_toxic, starts = y[s.row], np.searchsorted(s.row, np.arange(len(y)))
     busy = np.argsort(-np.abs(phi[:, :-1]).sum(axis=1) * ~of_toxic, kind="stable")[:20000]
     negative = busy[~of_toxic[busy]]
     w = np.concatenate([root @ np.array([max(told[z], 0.0) for z in marks.words]), [0.0]])
-    for _ in range(rounds):
+    rng = np.random.default_rng(5)
+    for k in range(rounds):
         margin = phi @ w
         worst = [a + int(np.argmax(margin[a:b])) for a, b, t in zip(starts, [*starts[1:], len(s.row)], y, strict=True) if t and b > a]
         at = np.concatenate([worst, negative]).astype(np.int64)
-        side = np.concatenate([np.ones(len(worst)), -np.ones(len(negative))])
-        w = _svm(phi[at], side, np.where(side > 0, 10.0, 10.0 * min(1.0, 4 * len(worst) / max(1, len(negative)))), 12)
+        x, side = phi[at], np.concatenate([np.ones(len(worst)), -np.ones(len(negative))])
+        if k == rounds - 1:
+            own_words: dict[int, list[str]] = {j: [] for j in worst}
+            picked = np.isin(s.sentence, worst)
+            for j, c in zip(s.sentence[picked].tolist(), s.code[picked].tolist(), strict=True):
+                word = bare(s.words[c])
+                if 5 <= len(word) < LONGEST_WORD:
+                    cut = int(rng.integers(2, len(word) - 1))
+                    word = word[:cut] + chr(97 + int(rng.integers(26))) + word[cut:]
+                own_words[j].append(word)
+            t = Sentences(pa.array([" ".join(ws) for ws in own_words.values()], pa.string()))
+            more = mapped(t, marks.values([bare(p)[:LONGEST_WORD] for p in t.words]) ** sharp)
+            x, side = np.concatenate([x, more]), np.concatenate([side, np.ones(len(more))])
+        w = _svm(x, side, np.where(side > 0, 10.0, 10.0 * min(1.0, 4 * len(worst) / max(1, len(negative)))), 12)
     top = np.full(len(y), 3.0 * w[-1])
     np.maximum.at(top, s.row, phi @ w)
     slope, offset = _sigmoid(top, np.where(y, 1, -1))
@@ -297,11 +318,19 @@ def margins(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 20_000) -> Model | None:
-    """Fit on a bounded sample of labelled rows outside the held-out third."""
+    """Fit on a bounded sample of labelled rows outside the held-out third. One task fits it, from at most 2 * per_class texts; the driver gets the model only."""
     marked = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, longest)).join(marked, "doc_id")
-    found = [r for side in (0, 1) for r in rows.where((F.col("toxic") > 0) == bool(side)).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_class).collect()]
-    return fit([r["text"] for r in found], [r["toxic"] > 0 for r in found])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text").between(1, longest))
+    slim = texts.select("doc_id").join(marked, "doc_id").distinct()
+    chosen = [slim.where((F.col("toxic") > 0) == bool(side)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for side in (0, 1)]
+    rows = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "toxic")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for b in frames for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        found = sorted({d: (d, t, x) for d, t, x in sorted(found, reverse=True)}.values(), key=lambda x: x[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in found], [x > 0 for _, _, x in found]))], pa.binary())], ["model"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 #: The model that this worker process used last, with its table of words.
