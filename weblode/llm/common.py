@@ -124,6 +124,11 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
         scratch.drop(f"{name}{k - 1}")
 
 
+def numbered(scratch: Scratch, docs: DataFrame, name: str = "numbered") -> DataFrame:
+    """docs, stored with a number for each row (_rid), by which slim results find their rows again."""
+    return scratch.store(docs.withColumn("_rid", F.monotonically_increasing_id()), name)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column as one array, and the offsets of its rows (one more than rows); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
