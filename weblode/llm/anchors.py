@@ -29,11 +29,11 @@ def word_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def owned(symbols: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Records (row, first window, number of windows, anchor hash) of rows symbols[at[r] : at[r + 1]]; first counts over all symbols."""
+def owned(symbols: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Records (row, first window, number of windows, anchor hash, place of the anchor from the first window) of rows symbols[at[r] : at[r + 1]]; first counts over all symbols."""
     empty = np.zeros(0, np.int64)
     if len(symbols) < window:
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), empty
     rolling = Rolling(symbols)
     grams = np.arange(len(symbols) - gram + 1)
     hashes = rolling.of(grams, grams + gram)
@@ -43,9 +43,9 @@ def owned(symbols: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[
     first = inside & np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]])
     begin = np.flatnonzero(first)
     if not len(begin):
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros(0, np.uint64), empty
     number = np.add.reduceat(inside.astype(np.int64), begin)
-    return row[begin], begin, number, hashes[place[begin]]
+    return row[begin], begin, number, hashes[place[begin]], place[begin] - begin
 
 
 def byte_pieces(body: np.ndarray, at: np.ndarray, window: int) -> Iterator[tuple[int, int, np.ndarray]]:

@@ -5,9 +5,12 @@ Sorting every suffix of a corpus takes several times its size on disk, so what c
 1. Each different text gives winnowed anchors; a window of `length` bytes belongs to one anchor, and equal windows to equal anchors.
 2. Anchors that occur once are dropped. Of the others the segment is taken: the bytes that the anchor's windows cover. Equal segments are one
    class, counted map-side; in a class that occurs twice every window repeats, whatever its size.
-3. Anchors with more than one class (the ends of a repeated stretch) go to shards by anchor. A shard streams its segments to disk and sorts all
-   their suffixes externally (see suffixes.py: disk-backed queues of suffixes and common prefixes, recursive induction); a window repeats if its
-   suffix has a common prefix of `length` with a neighbour. A hot anchor makes its shard long, not its memory large.
+3. Anchors with more than one class are the ends of repeated stretches. Their windows are cut to pieces of PIECE_WINDOWS at fixed places from the
+   anchor. All windows of a piece share its core; a piece whose core occurs once has no repeat, and one that occurs twice as a whole repeats whole. In
+   what is left a name of NAME bytes stands for the core, so a window of `length` bytes is one of few bytes.
+   Those go to shards by anchor. A shard streams them to disk and sorts all suffixes externally (see suffixes.py: disk-backed queues of suffixes
+   and common prefixes, recursive induction); a window repeats if its suffix has a common prefix of a window's length with a neighbour. A hot
+   anchor makes its shard long, not its memory large.
 4. Windows that repeat cover the bytes to remove.
 
 The scratch of a shard lies in the shared folder if that is a mounted path, else in the executor's own working folder, one subfolder an attempt;
@@ -32,36 +35,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblode.llm.anchors import BYTES, PIECE, byte_pieces, owned
-from weblode.llm.common import Rolling, Scratch, batches, distinct_texts, table, text_keys, utf8
+from weblode.llm.common import Rolling, Scratch, batches, distinct_texts, mixed, table, text_keys, utf8
 from weblode.llm.suffixes import scan_suffixes
 
 LENGTH, GRAM = 200, 40
+#: Windows of a piece, bytes of the name of a core.
+PIECE_WINDOWS, NAME = 32, 10
 #: Bytes of segments that a shard should hold.
 SHARD = 4 << 20
 
 
 def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(ah, tid, first, n) of every text (tid, body)."""
+    """(ah, tid, first, n, off) of every text (tid, body); off: place of the anchor from the first window."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, PIECE):
             body, at = utf8(b.column(1))
             if len(body) <= 2 * PIECE:
-                row, first, n, ah = owned(BYTES[body], at, length, gram)
-                found = [(row, first - at[row], n, ah)]
+                row, first, n, ah, off = owned(BYTES[body], at, length, gram)
+                found = [(row, first - at[row], n, ah, off)]
             else:
                 found = []
                 for r, low, symbols in byte_pieces(body, at, length):
-                    row, first, n, ah = owned(symbols, np.array([0, len(symbols)]), length, gram)
-                    found.append((row + r, first + low, n, ah))
-            for row, first, n, ah in found:
-                yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["ah", "tid", "first", "n"])
+                    row, first, n, ah, off = owned(symbols, np.array([0, len(symbols)]), length, gram)
+                    found.append((row + r, first + low, n, ah, off))
+            for row, first, n, ah, off in found:
+                yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32))], ["ah", "tid", "first", "n", "off"])
 
-    return texts.select("tid", "body").mapInArrow(run, "ah long, tid long, first int, n int")
+    return texts.select("tid", "body").mapInArrow(run, "ah long, tid long, first int, n int, off int")
 
 
 def segments(found: DataFrame, length: int) -> DataFrame:
-    """(ah, seg, tid, first, n, bytes) for texts (tid, body) with lists of anchors (at: ah, first, n)."""
+    """(ah, seg, tid, first, n, off, bytes) for texts (tid, body) with lists of anchors (at: ah, first, n, off)."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, PIECE):
@@ -69,7 +74,7 @@ def segments(found: DataFrame, length: int) -> DataFrame:
             lists = b.column(2)
             count = np.diff(lists.offsets.to_numpy())
             inner = lists.flatten()
-            ah, first, n = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            ah, first, n, off = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             body, at = utf8(b.column(1))
             row = np.repeat(np.arange(b.num_rows), count)
             begin = at[row] + first
@@ -86,11 +91,11 @@ def segments(found: DataFrame, length: int) -> DataFrame:
                 s = slice(k, k + 4096)
                 parts = [body[x:y].tobytes() for x, y in zip(begin[s].tolist(), (begin[s] + n[s] + length - 1).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ah[s]), pa.array(seg[s].view(np.int64)), tids.take(pa.array(row[s])), pa.array(first[s]), pa.array(n[s]), pa.array(parts, pa.binary())],
-                    ["ah", "seg", "tid", "first", "n", "bytes"],
+                    [pa.array(ah[s]), pa.array(seg[s].view(np.int64)), tids.take(pa.array(row[s])), pa.array(first[s]), pa.array(n[s]), pa.array(off[s]), pa.array(parts, pa.binary())],
+                    ["ah", "seg", "tid", "first", "n", "off", "bytes"],
                 )
 
-    return found.select("tid", "body", "at").mapInArrow(run, "ah long, seg long, tid long, first int, n int, bytes binary")
+    return found.select("tid", "body", "at").mapInArrow(run, "ah long, seg long, tid long, first int, n int, off int, bytes binary")
 
 
 def _folder(shared: str) -> str:
@@ -99,8 +104,39 @@ def _folder(shared: str) -> str:
     return f"{base}/shard-{uuid.uuid4().hex}"
 
 
-def repeated_places(classes: DataFrame, length: int, shared: str) -> DataFrame:
-    """(ah, seg, first, n): runs of windows that repeat, of classes (ah, seg, times, n, bytes) that occur once. One task is one shard."""
+def pieces(classes: DataFrame, length: int) -> DataFrame:
+    """(ah, seg, core, begin, n, body) of classes (ah, seg, n, off, bytes): windows begin .. begin + n - 1 are those of body, in which a name stands for the core."""
+    width = PIECE_WINDOWS
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(frames, PIECE):
+            part, at = _binary(b.column(4))
+            ah, seg = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            n, off = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            low = width * (1 + length // width) - off  # place of the first window in a numbering by the anchor
+            many = (low + n - 1) // width - low // width + 1
+            row = np.repeat(np.arange(len(n)), many)
+            piece = low[row] // width + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            begin = np.maximum(piece * width - low[row], 0)
+            end = np.minimum((piece + 1) * width - low[row], n[row])
+            start = piece * width - low[row]
+            left, right = at[row] + start + width - 1, at[row] + start + length
+            core = Rolling(BYTES[part]).of(left, right)
+            core = mixed(core ^ mixed(ah[row].view(np.uint64) + piece.astype(np.uint64)))
+            names = ((core[:, None] >> (np.uint64(7) * np.arange(NAME, dtype=np.uint64))) & np.uint64(127)).astype(np.uint8).tobytes()
+            raw = part.tobytes()
+            bodies = [raw[x:y] + names[NAME * k : NAME * (k + 1)] + raw[z:w] for k, (x, y, z, w) in enumerate(zip((at[row] + begin).tolist(), left.tolist(), right.tolist(), (at[row] + end - 1 + length).tolist(), strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(ah[row]), pa.array(seg[row]), pa.array(core.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(bodies, pa.binary())], ["ah", "seg", "core", "begin", "n", "body"])
+
+    return classes.select("ah", "seg", "n", "off", "bytes").mapInArrow(run, "ah long, seg long, core long, begin int, n int, body binary")
+
+
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return utf8(column.cast(pa.large_binary()).view(pa.large_string()))
+
+
+def repeated_places(bodies: DataFrame, length: int, shared: str) -> DataFrame:
+    """(core, eh, first, n): runs of windows that repeat, of pieces (core, eh, times, n, body) that occur once. One task is one shard."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = _folder(shared)
@@ -109,10 +145,10 @@ def repeated_places(classes: DataFrame, length: int, shared: str) -> DataFrame:
             heads, starts, total = [], [], 0
             with open(f"{folder}/text", "wb") as f:
                 for b in frames:
-                    for ah, seg, times, n, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for core, eh, times, n, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                         f.write((np.frombuffer(part, np.uint8) + np.uint8(2)).tobytes() + b"\1")
                         if times == 1:
-                            heads.append((ah, seg, n))
+                            heads.append((core, eh, n))
                             starts.append(total)
                         total += len(part) + 1
                 f.write(b"\0")
@@ -131,17 +167,17 @@ def repeated_places(classes: DataFrame, length: int, shared: str) -> DataFrame:
 
             scan_suffixes(np.asarray(text) if len(text) <= 64 << 20 else text, 256, length, f"{folder}/sort", scanned)
             out: list[tuple[int, int, int, int]] = []
-            for (ah, seg, n), s in zip(heads, starts, strict=True):
+            for (core, eh, n), s in zip(heads, starts, strict=True):
                 mine = np.concatenate([[False], hit[s : s + n], [False]])
                 edges = np.flatnonzero(mine[1:] != mine[:-1])
-                out += [(ah, seg, int(x), int(y - x)) for x, y in zip(edges[::2], edges[1::2], strict=True)]
+                out += [(core, eh, int(x), int(y - x)) for x, y in zip(edges[::2], edges[1::2], strict=True)]
             for k in range(0, len(out), 8192):
                 columns = list(zip(*out[k : k + 8192], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["ah", "seg", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())], ["core", "eh", "first", "n"])
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    return classes.select("ah", "seg", "times", "n", "bytes").mapInArrow(run, "ah long, seg long, first int, n int")
+    return bodies.select("core", "eh", "times", "n", "body").mapInArrow(run, "core long, eh long, first int, n int")
 
 
 def removal(texts: DataFrame, length: int) -> DataFrame:
@@ -180,16 +216,21 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     texts = distinct_texts(scratch, docs)
     rows = scratch.store(anchor_rows(texts, length, gram), "anchors")
     again = rows.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ah")
-    seeds = rows.join(again, "ah", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("ah", "first", "n")).alias("at"))
+    seeds = rows.join(again, "ah", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("ah", "first", "n", "off")).alias("at"))
     occ = scratch.store(segments(texts.join(seeds.hint("shuffle_hash"), "tid"), length), "segments")
     scratch.drop("anchors")
-    classes = scratch.store(occ.groupBy("ah", "seg").agg(F.count(F.lit(1)).alias("times"), F.any_value("n").alias("n"), F.any_value("bytes").alias("bytes")), "classes")
+    classes = scratch.store(occ.groupBy("ah", "seg").agg(F.count(F.lit(1)).alias("times"), F.any_value("n").alias("n"), F.any_value("off").alias("off"), F.any_value("bytes").alias("bytes")), "classes")
     several = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ah")
-    ends = classes.join(several, "ah", "left_semi")
-    size = ends.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    solved = scratch.store(repeated_places(ends.repartition(max(1, -(-size // SHARD)), "ah"), length, scratch.root), "solved")
-    whole = classes.where("times > 1").select("ah", "seg", F.lit(0).alias("begin"), F.col("n").alias("many"))
-    runs = whole.unionByName(solved.select("ah", "seg", F.col("first").alias("begin"), F.col("n").alias("many")))
+    cut = scratch.store(pieces(classes.join(several, "ah", "left_semi"), length).withColumn("eh", F.xxhash64("n", "body")), "pieces")
+    bodies = cut.groupBy("core", "eh").agg(F.count(F.lit(1)).alias("times"), F.any_value("n").alias("n"), F.any_value("body").alias("body"))
+    met = cut.groupBy("core").agg(F.min("eh").alias("e0"), F.max("eh").alias("e1")).where("e0 < e1").select("core")
+    ends = scratch.store(bodies.join(met, "core", "left_semi"), "ends")
+    size = ends.agg(F.sum(F.length("body"))).first()[0] or 0
+    solved = scratch.store(repeated_places(ends.repartition(max(1, -(-size // SHARD)), "core"), PIECE_WINDOWS - 1 + NAME, scratch.root), "solved")
+    alike = cut.groupBy("core", "eh").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("core", "eh", F.lit(0).alias("first"), F.lit(None).cast("int").alias("many"))
+    found = cut.select("ah", "seg", "core", "eh", "begin", "n").join(solved.select("core", "eh", "first", F.col("n").alias("many")).unionByName(alike), ["core", "eh"])
+    runs = found.select("ah", "seg", (F.col("begin") + F.col("first")).alias("begin"), F.coalesce("many", "n").alias("many"))
+    runs = runs.unionByName(classes.where("times > 1").select("ah", "seg", F.lit(0).alias("begin"), F.col("n").alias("many")))
     covered = occ.select("ah", "seg", "tid", "first").join(runs, ["ah", "seg"]).groupBy("tid").agg(F.collect_list(F.struct((F.col("first") + F.col("begin")).alias("first"), F.col("many").alias("n"))).alias("at"))
     by_text = removal(texts.join(covered.hint("shuffle_hash"), "tid", "left"), length)
     h1, h2 = text_keys(F.col("text"))

@@ -53,7 +53,7 @@ def anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
         for b in batches(frames, LIMIT):
             body, at = utf8(b.column(1))
             starts, ends, word_at = words_of(body, at)
-            row, first, n, ah = owned(word_hashes(body, starts, ends), word_at, window, gram)
+            row, first, n, ah, _ = owned(word_hashes(body, starts, ends), word_at, window, gram)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ah.view(np.int64)), b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), pa.array((first - word_at[row]).astype(np.int32)), pa.array(n.astype(np.int32))],
                 ["ah", "tid", "least", "first", "n"],
