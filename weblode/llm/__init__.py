@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: One module per operator; each has QUERIES and ORACLE_SQL.
-MODULES = ("toxicity", "bytespans", "licences", "vectors", "simhash", "lines", "mixing", "sharding", "passages")
+MODULES = ("toxicity", "bytespans", "decontaminate", "licences", "vectors", "simhash", "lines", "mixing", "sharding", "passages")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
