@@ -58,7 +58,7 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGH
     """docs (slim: doc_id, source, size and what else is wanted) with source_size, target and copies."""
     scratch = Scratch(spark, "mixing")
     kept = [c for c in docs.columns if c not in ("source_size", "target", "copies", "place")]
-    rows = docs.select(*kept).withColumn("_tie", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    rows = scratch.store(docs.select(*kept).withColumn("_tie", F.xxhash64(F.lit(seed), "doc_id", "size")), "sized")
     placed = ranked(scratch, rows, ["source"], [F.col("size"), F.col("_tie"), F.col("doc_id")], "ranked")
     found = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumnRenamed("source", "_source")
     out = placed.join(found, placed["source"].eqNullSafe(found["_source"]))
