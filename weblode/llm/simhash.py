@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblode.llm.common import Scratch, batches, components, table
+from weblode.llm.common import Scratch, batches, components, numbered, table
 
 SEED = 42
 #: Fingerprints whose variants are made at once, and those of one blob.
@@ -157,11 +157,11 @@ def emitter(half: int, bits: int):
     return run
 
 
-def _meetings(fps: np.ndarray, key: np.ndarray, who: np.ndarray, part: int, bits: int, half: int) -> np.ndarray:
-    """Verified links (rows of two fingerprints) of one partition."""
-    order = np.sort((key.astype(np.uint64) << np.uint64(32)) | who.astype(np.uint64))
-    k, w = (order >> np.uint64(32)).astype(np.uint32), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    del order
+def _meetings(fps: np.ndarray, met: np.ndarray, part: int, bits: int, half: int) -> np.ndarray:
+    """Verified links (rows of two fingerprints) of one partition; met: key << 32 | row in fps, sorted here in place."""
+    met.sort()
+    view = met.view(np.uint32).reshape(-1, 2)
+    w, k = view[:, 0], view[:, 1]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     size = np.diff(np.concatenate([first, [len(k)]]))
     pairs = []
@@ -171,7 +171,7 @@ def _meetings(fps: np.ndarray, key: np.ndarray, who: np.ndarray, part: int, bits
             a = a[k[a + lag] == k[a]]
         if not len(a):
             break
-        pairs.append(np.stack([w[a], w[a + lag]], 1))
+        pairs.append(np.stack([w[a], w[a + lag]], 1).astype(np.int64))
     links = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
     links = links[np.bitwise_count(fps[links[:, 0]] ^ fps[links[:, 1]]) <= 2 * half]
     found = [fps[links]]
@@ -179,7 +179,7 @@ def _meetings(fps: np.ndarray, key: np.ndarray, who: np.ndarray, part: int, bits
     if len(large):
         linear, wanted = Linear(), k[first[large]]
         masks = linear(flips(half))
-        members = np.unique(np.concatenate([w[first[g] : first[g] + size[g]] for g in large]))
+        members = np.unique(np.concatenate([w[first[g] : first[g] + size[g]] for g in large])).astype(np.int64)
         at, made = [], []
         for j in range(0, len(members), SLICE):
             some = members[j : j + SLICE]
@@ -200,16 +200,16 @@ def _meetings(fps: np.ndarray, key: np.ndarray, who: np.ndarray, part: int, bits
 
 def meeter(half: int, bits: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        fps, keys, who, n = [], [], [], 0
+        fps, n, at = [], 0, 0
+        met = np.zeros(sum(map(len, group["keys"])) // 3, np.uint64)
         for head, counts, blob in zip(group["fps"], group["counts"], group["keys"], strict=True):
             f = np.frombuffer(head, np.uint64)
-            raw = np.zeros((len(blob) // 3, 4), np.uint8)
-            raw[:, :3] = np.frombuffer(blob, np.uint8).reshape(-1, 3)
-            keys.append(raw.view(np.uint32).ravel())
-            who.append(np.repeat(np.arange(n, n + len(f), dtype=np.uint32), np.frombuffer(counts, np.uint16)))
+            raw = met[at : at + len(blob) // 3].view(np.uint8).reshape(-1, 8)
+            raw[:, 4:7] = np.frombuffer(blob, np.uint8).reshape(-1, 3)
+            raw.view(np.uint32)[:, 0] = np.repeat(np.arange(n, n + len(f), dtype=np.uint32), np.frombuffer(counts, np.uint16))
             fps.append(f)
-            n += len(f)
-        links = _meetings(np.concatenate(fps), np.concatenate(keys), np.concatenate(who), int(key[0]), bits, half).view(np.int64)
+            n, at = n + len(f), at + len(blob) // 3
+        links = _meetings(np.concatenate(fps), met, int(key[0]), bits, half).view(np.int64)
         return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
     return run
@@ -237,6 +237,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radi
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """docs with one document of each component: that with the least doc_id (the first such row, if it is repeated)."""
+    rows = numbered(Scratch(spark, "distinct"), docs)
+    found = near_duplicates(spark, rows.select(F.col("_rid").alias("doc_id"), "text"), shingle, radius).select(F.col("doc_id").alias("_rid"), "component_id")
+    stays = found.join(rows.select("_rid", "doc_id"), "_rid").groupBy("component_id").agg(F.min(F.struct("doc_id", "_rid")).alias("first"))
+    return rows.join(stays.select(F.col("first._rid").alias("_rid")).hint("shuffle_hash"), "_rid", "left_semi").drop("_rid")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
