@@ -361,6 +361,11 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, score double, predicted int")
 
 
+def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without those that a model trained on them rejects."""
+    return scored(docs, train(docs, labels)).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
