@@ -124,6 +124,22 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
         scratch.drop(f"{name}{k - 1}")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the components of the links (a, b): each node to the least of its component."""
+    nodes, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = both[: len(a)], both[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        np.minimum.at(root, u, before[v])
+        np.minimum.at(root, v, before[u])
+        root = root[root]
+        if (root == before).all():
+            break
+    off = root != np.arange(len(nodes))
+    return nodes[off], nodes[root[off]]
+
+
 def numbered(scratch: Scratch, docs: DataFrame, name: str = "numbered") -> DataFrame:
     """docs, stored with a number for each row (_rid), by which slim results find their rows again."""
     return scratch.store(docs.withColumn("_rid", F.monotonically_increasing_id()), name)

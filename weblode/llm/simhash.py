@@ -7,8 +7,8 @@ fingerprint and emit once.
 What is shuffled are blobs of 3-byte keys, not rows: a key is 24 bits of a linear hash of the variant, next to the partition number that other
 bits of that hash give. The number of partitions follows the count of fingerprints, so that a partition holds about 2 ** 23 variants at any
 size. Keys that meet by chance fail the Hamming check. In a meeting of two to eight fingerprints all pairs are verified; in a larger one the
-full variants are made again, and those that really are equal (hence all within the radius of each other) are linked to their least. So a
-group of g near copies gives O(g) links a variant, never all pairs, and no link is lost.
+full variants are made again, and those that really are equal (hence all within the radius of each other) are linked to their least. A partition
+passes on a spanning forest of its links, so a group of g near copies gives at most g rows a partition, never all pairs, and no component is torn.
 
 Defined results. Null text: as empty. Empty or blank text: no words, fingerprint zero, linked like any other. Fewer words than the shingle: the
 whole sequence is one shingle. Repeated rows: all kept, same fingerprint. Null doc_id: the row keeps a fingerprint and a component; the least
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblode.llm.common import Scratch, batches, components, numbered, table
+from weblode.llm.common import Scratch, batches, components, forest, numbered, table
 
 SEED = 42
 #: Fingerprints whose variants are made at once, and those of one blob.
@@ -209,14 +209,15 @@ def meeter(half: int, bits: int):
             raw.view(np.uint32)[:, 0] = np.repeat(np.arange(n, n + len(f), dtype=np.uint32), np.frombuffer(counts, np.uint16))
             fps.append(f)
             n, at = n + len(f), at + len(blob) // 3
-        links = _meetings(np.concatenate(fps), met, int(key[0]), bits, half).view(np.int64)
-        return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+        links = _meetings(np.concatenate(fps), met, int(key[0]), bits, half)
+        a, b = forest(links[:, 0], links[:, 1])
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return run
 
 
 def links(fps: DataFrame, count: int, half: int = 2) -> DataFrame:
-    """(a, b): links between the different fingerprints fps (fp); their components are those of all links within 2 * half bits."""
+    """(a, b): pairs of the different fingerprints fps (fp) whose components are those of all links within 2 * half bits."""
     each = sum(1 for _ in flips(half))
     bits = max(0, (max(1, count * each) - 1).bit_length() - 23)
     spread = max(1, min(count // CHUNK, 1 << 16))
