@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from weblode.functions import score
@@ -15,7 +16,7 @@ from weblode.sources.html import parsed
 MEDIA = r"(?i)\.(jpg|jpeg|png|gif|pdf|doc|docx)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
     def one(b: str | None, h: str | None) -> str | None:
         try:
