@@ -334,7 +334,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: in
         found = sorted({d: (d, t, x) for d, t, x in sorted(found, reverse=True)}.values(), key=lambda x: x[0])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in found], [x > 0 for _, _, x in found]))], pa.binary())], ["model"])
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    fitted = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else None
 
 
 #: The model that this worker process used last, with its table of words.
