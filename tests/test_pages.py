@@ -160,7 +160,7 @@ def test_documents_and_client(spark, site_pages, tmp_path):
     with pytest.raises(ValueError):
         WebClient(spark, "")
     path = tmp_path / "o" / "x.json"
-    found = WebClient(spark, "k").scrape(site_pages, "http://a.com/", "alpha beta", 2, str(path))
+    found = WebClient(spark, "k").scrape(site_pages, "http://a.com/", "alpha beta", str(path), 2)
     saved = json.loads(path.read_text())
     assert len(saved) == found.count() == 5 and saved[0]["title"] == "T" and saved[0]["chunk_count"] >= 1
     assert sinks.save_list(found.where("false"), str(tmp_path / "none.json")) is None

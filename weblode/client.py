@@ -41,7 +41,7 @@ class WebClient:
         reached = pages.join(visited.groupBy("url").agg(F.min("depth").alias("depth")), "url")
         return documents.final_documents(reached, q, keywords)
 
-    def scrape(self, pages: DataFrame, url: str, instructions: str, depth: int = 3, output_file: str | None = None) -> DataFrame:
+    def scrape(self, pages: DataFrame, url: str, instructions: str, output_file: str | None = None, depth: int = 3) -> DataFrame:
         """The documents of one seed, also saved as one JSON list if there are any."""
         found = self.documents(pages, [url], instructions, depth)
         if sinks.save_list(found, output_file) is None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weblode.functions.text import W, groups_of_words, word_count
 
 #: After a stop before a capital, after ; or } before a word, after a line end before a capital. Nothing but white space is lost.
-BOUNDS = rf"(?<=[.!?])\s+(?=[A-Z])|(?<=;)\s+(?=[{W}])|(?<=\}})\s*(?=[{W}])|(?<=\n)\s*(?=[A-Z])"
+BOUNDS = rf"(?<=;)\s+(?=[{W}])|(?<=\}})\s*(?=[{W}])|(?<=[!.?])\s+(?=[A-Z])|(?<=[\n])\s*(?=[A-Z])"
 
 
 def sentences(text: Column) -> Column:

@@ -18,7 +18,7 @@ def _word(alternatives: str) -> str:
 
 
 SYNTAX = {
-    "function_definition": rf"{_B[0]}[{W}]+\s*\([^)]*\)\s*\{{",
+    "function_definition": rf"{_B[0]}[{W}]+\s*[(][^)]*[)]\s*[{{]",
     "type_definition": rf"{_word('class|interface|enum')}\s+[{W}]+",
     "import_statement": rf"{_word('import|include|require')}.*?[\n;]",
     "variable_declaration": rf"{_word('const|let|var|def|val')}\s+[{W}]+\s*=",
@@ -36,10 +36,10 @@ STRUCTURED = {
     "xml_like": rf"<[{W}]+>.*?</[{W}]+>",
     "key_value": rf"""{_B[0]}[{W}]+\s*=\s*['"].+?['"]""",
     "measurement": rf"{_B[0]}\p{{Nd}}+(?:\.\p{{Nd}}+)?(?:(?:px|em|rem){_B[1]}|%(?=[{W}]))",
-    "url": rf"{_B[0]}(?:https?://|www\.)\S+",
+    "url": rf"{_B[0]}(?:www\.|https?://)\S+",
 }
 COMPOUND = rf"{_B[0]}[{W}]+(?:[-_][{W}]+)+{_B[1]}"
-CAMEL = rf"{_B[0]}(?:[A-Z][a-z0-9]+){{2,}}{_B[1]}"
+CAMEL = rf"{_B[0]}([A-Z][0-9a-z]+){{2,}}{_B[1]}"
 CONSTANT = rf"{_B[0]}[A-Z][A-Z0-9_]+{_B[1]}"
 PHRASE = tuple("implementation framework library api function method class object interface protocol service database query server client".split())
 DOMAINS = {"web_api": "api|rest|http|endpoint", "database": "database|sql|query|table", "web_development": "html|css|javascript|dom", "react": "react|component|props|state"}

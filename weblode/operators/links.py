@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from weblode.functions import score
 from weblode.sources.html import parsed
 
-MEDIA = r"(?i)\.(jpg|jpeg|png|gif|pdf|doc|docx)$"
+MEDIA = r"(?i)\.(gif|png|jpe?g|pdf|docx?)$"
 
 
 @F.pandas_udf(StringType())

@@ -166,10 +166,10 @@ L = f"WITH {S.LINKS}"
 _add("page_links", lambda s, d: _anchors(s, d).select("page_id", "ord", "href", "text"), f"{L} SELECT page_id, ord, href, text FROM anchors")
 _add("resolve_links", lambda s, d: _resolved(s, d).select("page_id", "ord", "dst"), f"{L} SELECT page_id, ord, dst FROM resolved")
 _add("same_site_links", lambda s, d: links.same_site(_resolved(s, d)).select("page_id", "ord", "dst"), f"{L} SELECT page_id, ord, dst FROM resolved")
-_add("nonmedia_links", lambda s, d: links.no_media(_resolved(s, d)).select("page_id", "ord", "dst"), rf"{L} SELECT page_id, ord, dst FROM resolved WHERE NOT regexp_matches(dst, '(?i)\.(jpg|jpeg|png|gif|pdf|doc|docx)$')")
+_add("nonmedia_links", lambda s, d: links.no_media(_resolved(s, d)).select("page_id", "ord", "dst"), rf"{L} SELECT page_id, ord, dst FROM resolved WHERE NOT regexp_matches(dst, '(?i)\.(gif|png|jpe?g|pdf|docx?)$')")
 _add("unvisited_links", lambda s, d: links.unvisited(_resolved(s, d), _resolved(s, d).where("page_id % 3 = 0").select(F.col("dst").alias("url"))).select("page_id", "ord", "dst"), f"{L} SELECT page_id, ord, dst FROM resolved WHERE dst NOT IN (SELECT dst FROM resolved WHERE page_id % 3 = 0)")
 _add("url_relevance", lambda s, d: links.scored(_resolved(s, d), KW).select("page_id", "ord", "dst", "score"), f"{L} SELECT page_id, ord, dst, {S.url_score()} AS score FROM resolved")
-_add("relevant_links", lambda s, d: links.relevant(_anchors(s, d), KW).select("page_id", "ord", "dst", "score"), rf"{L}, scored AS (SELECT *, {S.url_score()} AS score FROM resolved WHERE NOT regexp_matches(dst, '(?i)\.(jpg|jpeg|png|gif|pdf|doc|docx)$')) SELECT page_id, ord, dst, score FROM scored WHERE score > 0.2::DOUBLE")
+_add("relevant_links", lambda s, d: links.relevant(_anchors(s, d), KW).select("page_id", "ord", "dst", "score"), rf"{L}, scored AS (SELECT *, {S.url_score()} AS score FROM resolved WHERE NOT regexp_matches(dst, '(?i)\.(gif|png|jpe?g|pdf|docx?)$')) SELECT page_id, ord, dst, score FROM scored WHERE score > 0.2::DOUBLE")
 _add(
     "initial_links",
     lambda s, d: links.seeds(_anchors(s, d), KW).select("page_id", "dst", "score", "rank"),

@@ -140,7 +140,7 @@ def _terms(t: str) -> list[str]:
     runs = rf"regexp_extract_all({t}, '[{W}]+(?:[-][{W}]+)*')"
     compound = f"list_filter({runs}, lambda x: regexp_full_match(x, {q(rf'[{W}]+(?:[-_][{W}]+)+')}))"
     single = f"regexp_extract_all({t}, '[{W}]+')"
-    camel = f"list_filter({single}, lambda x: regexp_full_match(x, '(?:[A-Z][a-z0-9]+){{2,}}'))"
+    camel = f"list_filter({single}, lambda x: regexp_full_match(x, '([A-Z][0-9a-z]+){{2,}}'))"
     constant = f"list_filter({single}, lambda x: regexp_full_match(x, '[A-Z][A-Z0-9_]+'))"
     return [compound, camel, constant]
 
