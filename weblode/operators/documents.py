@@ -48,9 +48,12 @@ def rag_documents(pages: DataFrame, keywords: list[str], least: float = 0.3) ->
     return out.orderBy(F.desc("average_relevance"), "url", "page_id")
 
 
-def nodes(pages: DataFrame, main: bool = False) -> DataFrame:
-    """(page_id, url, node_id, parent_id, depth, tag, attributes, classes, text, html, navigation, has_code): elements with text, of the page or its main part."""
-    name = "main_nodes" if main else "nodes"
+def nodes(pages: DataFrame, main: bool = False, markup: bool = False) -> DataFrame:
+    """(page_id, url, node_id, parent_id, depth, tag, attributes, classes, text, html, navigation, has_code): elements with text, of the page or its main part.
+
+    html is null unless markup is asked for, which is for whole pages only.
+    """
+    name = "main_nodes" if main else "nodes_markup" if markup else "nodes"
     return parsed(pages, (name,)).select("page_id", "url", F.explode(name).alias("n")).select("page_id", "url", "n.*")
 
 
@@ -63,7 +66,7 @@ def content_elements(pages: DataFrame, keywords: list[str]) -> DataFrame:
 def element_chunks(pages: DataFrame, keywords: list[str]) -> DataFrame:
     """Elements as chunks; technical markup is worth 0.2 more, and those at 0.2 stay."""
     low = F.lower("html")
-    out = nodes(pages).withColumn("content", clean_code(F.col("text"))).where("content <> ''")
+    out = nodes(pages, markup=True).withColumn("content", clean_code(F.col("text"))).where("content <> ''")
     out = out.withColumn("relevance", score.content(F.col("content"), keywords) + F.when(any_of(low, MARKS), F.lit(0.2)).otherwise(F.lit(0.0))).where("relevance >= 0.2D")
     named = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in ("react", "javascript", "sql", "code")]), lambda x: x.isNotNull())
     meta = F.struct("has_code", named.alias("technical_indicators"))
@@ -81,7 +84,7 @@ def table_chunks(pages: DataFrame, keywords: list[str]) -> DataFrame:
 
 def content_chunks(pages: DataFrame, keywords: list[str]) -> DataFrame:
     """Text, code and table chunks of whole pages, as (page_id, url, kind, ord, id, content, relevance, html)."""
-    text = nodes(pages).where("tag in ('article', 'section', 'div', 'main') and not navigation").withColumn("content", clean_code(F.col("text"))).where("length(content) >= 100")
+    text = nodes(pages, markup=True).where("tag in ('article', 'section', 'div', 'main') and not navigation").withColumn("content", clean_code(F.col("text"))).where("length(content) >= 100")
     text = text.withColumn("relevance", score.content(F.col("content"), keywords)).where("relevance > 0.2D")
     text = text.select("page_id", "url", F.lit("text").alias("kind"), F.col("node_id").alias("ord"), content_id(F.col("content")).alias("id"), "content", "relevance", "html")
     code = parsed(pages, ("code",)).select("page_id", "url", F.posexplode("code").alias("ord", "c")).withColumn("content", clean_code(F.col("c.stripped"))).where("content <> ''")

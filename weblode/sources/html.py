@@ -34,6 +34,7 @@ FIELDS = {
     "code": "array<struct<text:string,stripped:string,classes:array<string>,in_article:boolean>>",
     "tables": "array<struct<headers:array<string>,rows:array<array<string>>,html:string>>",
     "nodes": f"array<{NODE}>",
+    "nodes_markup": f"array<{NODE}>",
     "main_nodes": f"array<{NODE}>",
     "error": "string",
 }
@@ -194,8 +195,11 @@ def _without_boilerplate(page: Page) -> str:
     return kept(page.root)
 
 
-def _nodes(page: Page, root: Node) -> list[dict]:
-    """The root and all elements below it that have text, in the order of the markup. Elements under one without text are left out with it."""
+def _nodes(page: Page, root: Node, markup: bool = False) -> list[dict]:
+    """The root and all elements below it that have text, in the order of the markup. Elements under one without text are left out with it.
+
+    Their own markup only where it is asked for: nested elements repeat it at every level.
+    """
     out, number, stack = [], {}, [(root, -1, 0)]
     while stack:
         n, parent, depth = stack.pop()
@@ -204,7 +208,7 @@ def _nodes(page: Page, root: Node) -> list[dict]:
             continue
         number[id(n)] = len(out)
         code = any(x.tag in ("pre", "code") for x in n.walk() if x is not n)
-        out.append({"node_id": len(out), "parent_id": parent, "depth": depth, "tag": n.tag, "attributes": list(n.attrs.items()), "classes": n.classes, "text": text, "html": page.html(n), "navigation": n.navigation, "has_code": code})
+        out.append({"node_id": len(out), "parent_id": parent, "depth": depth, "tag": n.tag, "attributes": list(n.attrs.items()), "classes": n.classes, "text": text, "html": page.html(n) if markup else None, "navigation": n.navigation, "has_code": code})
         stack.extend((c, number[id(n)], depth + 1) for c in reversed(n.children) if isinstance(c, Node))
     return out
 
@@ -227,6 +231,7 @@ def parse(html: str | None, want: tuple[str, ...]) -> dict:
             "code": lambda: [{"text": page.full(n), "stripped": page.text(n), "classes": n.classes, "in_article": id(n) in inside} for n in page.root.walk() if n.tag in ("pre", "code")],
             "tables": lambda: [_table(page, n) for n in page.root.walk() if n.tag == "table"],
             "nodes": lambda: _nodes(page, page.root),
+            "nodes_markup": lambda: _nodes(page, page.root, True),
             "main_nodes": lambda: _nodes(page, _main(page)),
             "error": lambda: None,
         }
