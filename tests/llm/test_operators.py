@@ -222,6 +222,29 @@ def test_decontaminate(spark):
         assert again >= 12
 
 
+@pytest.mark.parametrize("others", [0, 3000])
+def test_decontaminate_finds_replaced_words_and_short_items(spark, others):
+    rng = random.Random(15)
+    items = [" ".join(f"i{k}w{rng.randrange(400)}" for _ in range(n)) for k, n in enumerate([30] * 12 + [2, 4, 5, 8, 9, 11])]
+    rows, want = [], set()
+    for k, item in enumerate(items):
+        for part in (0.0, 0.2, 0.3, 0.4):
+            w = item.split()
+            if part and len(w) < 30:
+                continue
+            for at in rng.sample(range(len(w)), int(part * len(w))):
+                w[at] = f"foreign{rng.randrange(10**6)}"
+            assert brute_lcs(w, item.split()) >= 0.6 * len(w)
+            doc = [f"before{rng.randrange(10**6)}" for _ in range(rng.randrange(40))] + w + [f"after{rng.randrange(10**6)}" for _ in range(30)]
+            want.add((len(rows), k))
+            rows.append((len(rows), " ".join(doc)))
+    rows += [(len(rows) + k, " ".join(f"other{rng.randrange(10**6)}" for _ in range(20))) for k in range(others)]
+    # the answer, an item without full stops, is the whole item
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    kept, found = decontaminate.leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {tuple(r) for r in found.join(kept, "_rid").select("doc_id", "item_id").collect()} == want
+
+
 def brute_lcs(a, b):
     table = [0] * (len(b) + 1)
     for x in a:

@@ -4,11 +4,13 @@
    the whole corpus give inverse-frequency weights. Words in over STOP of all documents weigh nothing.
 2. Distributed randomised SVD: for passages of PASSAGE words of the whole corpus, and the benchmark's own pieces, each task adds its share of
    A^T (A omega), A the weighted passages; the sum, one row a word, gives the leading right singular vectors by a Nystroem step.
-3. Search: windows of WINDOW words, every STEP words, are compared with pieces (start, middle, end) of each item by cosine in the latent space. A
-   window can only reach a cosine through the benchmark's words, so those whose weight in these is too small a part of the whole are passed over.
-   The least cosine is calibrated on the items themselves, with shifted windows and a replaced word.
-4. Candidates must share the item's weighted words; then the longest common subsequence of the item and the stretch around the window must reach
-   LCS of the item, and that of its answer (its last sentence) ANSWER. Every candidate is checked; there is no cap.
+3. Search: windows of WINDOW words (of the item's length, for shorter items), every STEP words (a third of shorter windows), are compared with pieces
+   (start, middle, end) of each item by cosine in the latent space. Only windows without any weighted word of the benchmark are passed over: their
+   cosine is 0. Words outside the benchmark have no part in it, so neither they nor the size of the corpus hide a window.
+   The least cosine is calibrated on the items themselves, with shifted windows, with a replaced word and with as many foreign words as LCS allows.
+4. The longest common subsequence of the item and the stretch around the window must reach LCS of the item, and that of its answer (its last sentence)
+   ANSWER. It can't be longer than the number of the stretch's words that are in the item, so stretches with fewer aren't computed: none of them could
+   be accepted. Every other candidate is checked; there is no cap.
 
 The benchmark is the stated query set: it is read in blocks of `block` items, each with its own pass, so what a task holds is bounded whatever its
 size. Per-word tables and the latent space go to the tasks; they are bounded by the block's words.
@@ -31,7 +33,7 @@ from weblode.llm.anchors import word_hashes
 from weblode.llm.common import Scratch, batches, numbered, table, utf8
 
 PASSAGE, WINDOW, STEP, RANK = 48, 12, 4, 64
-STOP, LCS, ANSWER, SHARED = 0.5, 0.6, 0.5, 0.5
+STOP, LCS, ANSWER = 0.5, 0.6, 0.5
 BLOCK_ITEMS = 4096
 
 _WORD = np.zeros(256, bool)
@@ -98,6 +100,11 @@ class Items:
         self.many = len(self.words.hashes) + 1
 
 
+def _step(size: int) -> int:
+    """Distance of windows of so many words."""
+    return max(1, min(STEP, size // 3))
+
+
 def subsequence(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     masks: dict[int, int] = {}
@@ -207,17 +214,20 @@ def latent(stored: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK
 
 
 class Search:
-    def __init__(self, items: Items, weight: np.ndarray, space: np.ndarray, absent: float) -> None:
-        self.items, self.weight, self.absent = items, weight.astype(np.float32), np.float32(absent)
+    def __init__(self, items: Items, weight: np.ndarray, space: np.ndarray) -> None:
+        self.items, self.heavy = items, weight > 0
         self.rows = (space * weight[:, None]).astype(np.float32)
-        self.energy = self.weight**2
-        self.energy[0] = self.absent**2
         self.queries = self._unit(np.stack([self.rows[p].sum(axis=0) for _, p in items.pieces]))
         self.of = np.array(items.of)
         self.sets = np.zeros((len(items.ids), items.many), bool)
         for k, row in enumerate(items.rows):
             self.sets[k, row] = True
         self.sets[:, 0] = False
+        self.lengths = np.array([len(row) for row in items.rows])
+        self.slack = np.maximum(STEP, self.lengths // 4)
+        sizes = np.array([len(piece) for _, piece in items.pieces])
+        self.offsets = np.array([start for start, _ in items.pieces])
+        self.classes = [(int(size), np.flatnonzero(sizes == size)) for size in np.unique(sizes)]
         self.least = self._calibrated()
 
     @staticmethod
@@ -225,49 +235,83 @@ class Search:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def _calibrated(self) -> float:
-        """The cosine that all but a hundredth of the items' windows reach with their nearest piece, when shifted by half a step and with one word replaced."""
-        rng, found = np.random.default_rng(37), []
+        """The cosine that all but a hundredth of the items' windows reach with their nearest piece, when shifted by half a step and with one word replaced, or with foreign words for the share that LCS allows."""
+        rng, swap, found = np.random.default_rng(37), np.random.default_rng(41), []
         for k, row in enumerate(self.items.rows):
             mine = self.queries[self.of == k]
             for start, piece in (p for p, o in zip(self.items.pieces, self.of, strict=True) if o == k):
-                for move in (-STEP // 2, 0, STEP // 2):
+                half = _step(len(piece)) // 2
+                for move in (-half, 0, half):
                     window = row[max(0, start + move) : max(0, start + move) + WINDOW].copy()
-                    if len(window) < min(WINDOW, len(row)) - STEP // 2:
+                    if len(window) < len(piece) - half:
                         continue
+                    foreign = window.copy()
+                    foreign[swap.permutation(len(window))[: int((1 - LCS) * len(window))]] = 0
                     window[rng.integers(len(window))] = rng.integers(self.items.many)
-                    found.append(float((mine @ self._unit(self.rows[window].sum(axis=0)[None, :])[0]).max()))
-        return float(max(0.3, np.quantile(found, 0.01))) if found else 1.0
+                    found.append([float((mine @ self._unit(self.rows[x].sum(axis=0)[None, :])[0]).max()) for x in (window, foreign)])
+        return float(max(0.3, np.quantile(found, 0.01, axis=0).min())) if found else 1.0
+
+    def _sums(self, ids: np.ndarray, starts: np.ndarray, size: int, step: int) -> np.ndarray:
+        """Latent rows of the windows that begin at starts, multiples of step. Runs of step words are summed once for all windows that share them."""
+        runs, rest = divmod(size, step)
+        first, last = int(starts[0]), int(starts[-1]) + (runs + 1) * step
+        part = np.zeros(last - first, ids.dtype)
+        part[: max(0, len(ids) - first)] = ids[first:last]
+        each = self.rows[part[::step]]
+        for j in range(1, step):
+            each += self.rows[part[j::step]]
+        k = (starts - first) // step
+        out = each[k]
+        for j in range(1, runs):
+            out += each[k + j]
+        for j in range(rest):
+            out += self.rows[part[(k + runs) * step + j]]
+        return out
+
+    def _may_reach(self, ids: np.ndarray, begins: np.ndarray, of: np.ndarray, best: dict[int, set[int]]) -> None:
+        """Add to best, by item, where those items begin whose stretch has enough of their words to reach LCS."""
+        low = np.clip(begins - self.slack[of], 0, len(ids))
+        high = np.clip(begins + self.lengths[of] + self.slack[of], 0, len(ids))
+        first = int(low.min())
+        part = ids[first : int(high.max())]
+        order = np.argsort(of, kind="stable")
+        begins, of, low, high = begins[order], of[order], low[order] - first, high[order] - first
+        items, at = np.unique(of, return_index=True)
+        at = np.append(at, len(of))
+        group = max(1, (1 << 21) // max(1, len(part)))
+        for g in range(0, len(items), group):
+            some = items[g : g + group]
+            count = np.zeros((len(some), len(part) + 1), np.int32)
+            np.cumsum(self.sets[some[:, None], part], axis=1, out=count[:, 1:])
+            x, y = at[g], at[min(g + group, len(items))]
+            row = np.searchsorted(some, of[x:y])
+            able = np.flatnonzero((count[row, high[x:y]] - count[row, low[x:y]]) / self.lengths[of[x:y]] >= LCS) + x
+            for item, begin in zip(of[able].tolist(), begins[able].tolist(), strict=True):
+                best.setdefault(item, set()).add(begin)
 
     def __call__(self, ids: np.ndarray) -> list[tuple[int, float]]:
         """Items in one document, as (item_id, share of the longest common subsequence); ids: its word numbers."""
         n = len(ids)
         if not n:
             return []
-        starts = np.arange(0, max(1, n - WINDOW + STEP), STEP)
-        ends = np.minimum(starts + WINDOW, n)
-        total = np.concatenate([[0.0], np.cumsum(self.energy[ids], dtype=np.float64)])
-        inside = np.concatenate([[0.0], np.cumsum(np.where(ids > 0, self.energy[ids], 0), dtype=np.float64)])
-        busy = np.flatnonzero(inside[ends] - inside[starts] >= 0.3 * (total[ends] - total[starts]))
-        best: dict[int, list[int]] = {}
-        for k in range(0, len(busy), 4096):
-            some = busy[k : k + 4096]
-            place = np.minimum(starts[some][:, None] + np.arange(WINDOW), n - 1)
-            block = np.where(starts[some][:, None] + np.arange(WINDOW) < n, ids[place], 0)
-            cosine = self._unit(self.rows[block].sum(axis=1)) @ self.queries.T
-            w, q = np.nonzero(cosine >= self.least)
-            if not len(w):
-                continue
-            b, o = block[w], self.of[q]
-            weight = self.weight[b]
-            weight = np.where(b > 0, weight, self.absent)
-            shared = np.where(self.sets[o[:, None], b], weight, 0).sum(axis=1) >= SHARED * weight.sum(axis=1)
-            for x, y in zip(some[w[shared]].tolist(), q[shared].tolist(), strict=True):
-                best.setdefault(int(self.of[y]), []).append(int(starts[x]) - self.items.pieces[y][0])
+        heavy = np.concatenate([[0], np.cumsum(self.heavy[ids])])
+        best: dict[int, set[int]] = {}
+        for size, pieces in self.classes:
+            step, queries = _step(size), self.queries[pieces].T
+            starts = np.arange(0, max(1, n - size + step), step)
+            starts = starts[heavy[np.minimum(starts + size, n)] > heavy[starts]]
+            many = max(1, (1 << 21) // len(pieces))
+            for k in range(0, len(starts), many):
+                some = starts[k : k + many]
+                near = np.flatnonzero(self._unit(self._sums(ids, some, size, step)) @ queries >= self.least)
+                if len(near):
+                    w, q = np.divmod(near, len(pieces))
+                    self._may_reach(ids, some[w] - self.offsets[pieces[q]], self.of[pieces[q]], best)
         out = []
         for item, begins in best.items():
             row, answer, most = self.items.rows[item], self.items.answers[item], 0.0
-            slack = max(STEP, len(row) // 4)
-            for begin in sorted(set(begins)):
+            slack = int(self.slack[item])
+            for begin in sorted(begins):
                 part = ids[max(0, begin - slack) : max(0, begin + len(row) + slack)]
                 share = subsequence(row, part) / len(row)
                 if share > most and share >= LCS and subsequence(answer, part) >= ANSWER * len(answer):
@@ -294,7 +338,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int
         share = n[:-1] / max(1, n[-1])
         weight = np.where(share > STOP, 0.0, np.log((n[-1] + 1) / (n[:-1] + 0.5)))
         weight[0] = 0.0
-        search = Search(items, weight, latent(stored, items, weight), float(np.log((n[-1] + 1) / 10)))
+        search = Search(items, weight, latent(stored, items, weight))
 
         def run(frames: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
             for b in frames:
