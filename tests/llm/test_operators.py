@@ -345,6 +345,15 @@ def test_lines(spark):
     assert len(out) == sum(len(t.split("\n")) for _, t in rows if t)
 
 
+def test_lines_links_short_near_copies(spark):
+    base = "The quick brown fox jumps over the lazy dog near the old stone bridge at dawn, 1234 people saw it."
+    near = [base.replace("quick", "quack"), base.replace("1234", "1235"), base.replace("stone", "brick")]
+    short = "a line of sixty letters, or so, that differs in one letter"
+    rows = [*enumerate([base, *near, short, short.replace("sixty", "sixti"), "something else, that is like none of the others here"])]
+    out = lines.line_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["first_doc"] for r in out} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6}
+
+
 def test_mixing(spark, docs, rows):
     slim = docs.select("doc_id", "source", mixing.quick_word_count(docs["text"]).alias("size"))
     out = mixing.mixed(spark, slim).collect()
