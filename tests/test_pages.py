@@ -194,3 +194,19 @@ def test_stream(spark, site_pages, tmp_path):
     q = stream.write_documents(stream.arriving(spark, str(tmp_path / "in"), 1), prompt.query("alpha beta"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 8
+
+
+def test_crawl_query_has_the_whole_budget(spark, monkeypatch):
+    import inspect
+
+    from weblode.plans import registry
+
+    best_first, asked = crawl.best_first, {}
+
+    def watched(*args, **named):
+        asked.update(inspect.signature(best_first).bind(*args, **named).arguments)
+        return args[1]
+
+    monkeypatch.setattr(crawl, "best_first", watched)
+    registry.queries()["crawl_best_first"](spark, "/root/testdata/sf0.001")
+    assert asked.get("max_depth", 3) == 3 and asked.get("max_pages", 20) == 20

@@ -262,7 +262,7 @@ def _crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     have = _pages(spark, sf_dir).select("page_id", "url", "html")
     dst = links.relevant(links.anchors(have), KW).select("dst", "page_id").groupBy("dst").agg(F.min("page_id").alias("page_id"))
     more = dst.join(have.select("page_id", "html"), "page_id").select("page_id", F.col("dst").alias("url"), "html")
-    return crawl.best_first(have.unionByName(more), have.select(F.col("url").alias("seed")), KW, max_depth=2, max_pages=4)
+    return crawl.best_first(have.unionByName(more), have.select(F.col("url").alias("seed")), KW)
 
 
 _add("crawl_best_first", _crawl)
