@@ -272,6 +272,19 @@ def test_licences(spark):
     assert out[1]["sentence_ids"] == ["mit-grant", "mit-notice"]
 
 
+def test_licences_official_notices(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."
+    want = {mpl: "MPL-2.0", gpl: "GPL-3.0-or-later", apache: "Apache-2.0", bsd: "BSD-2-Clause"}
+    want["Prose that ends in\nLicensed under CC BY-NC 4.0."] = "CC-BY-NC-4.0"
+    marks = ["", "    ", "# ", " * ", "// "]
+    rows = [(mark + text.replace("\n", "\n" + mark), name) for text, name in want.items() for mark in marks]
+    out = licences.scanned(spark.createDataFrame(rows, "text string, name string")).collect()
+    assert [(r["name"], r["licences"]) for r in out if r["licences"] != [r["name"]]] == []
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((30, 64))

@@ -1,7 +1,7 @@
 """Licence scans by sentence rules: normalised sentences become identifiers, and ordered rules match the sequence of identifiers.
 
 A text is cut to sentences at full stops, question and exclamation marks before white space and at line ends; a line that plainly goes on in the next
-one is joined to it. A sentence in lower case, with every run of other signs than a-z and 0-9 as one space, is looked up among the known sentences.
+one is joined to it, once indents and comment marks are gone. A sentence in lower case, with every run of other signs than a-z and 0-9 as one space, is looked up among the known sentences.
 The identifiers of a text, in order, are its sequence (sentences that aren't known leave no trace in it). A rule is an ordered list of identifiers
 and matches where these follow one another. Both tables are constants of this module, so the lookup is an expression on the row: no join, no shuffle.
 Texts without any of TRIGGERS, one of which every known sentence contains, skip the work.
@@ -77,6 +77,16 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 TRIGGERS = ("licens", "copyright", "warrant", "permission", "redistribut", "gnu general public", "public domain")
 
 WRAPPED, SHOUTED = r"([^.!?:;\n])\n([a-zà-ÿ])", r"([A-ZÀ-Þ,])\n([A-ZÀ-Þ][A-ZÀ-Þ])"
+#: Blanks at line ends; indents and comment marks; lines that go on after a small word, inside a name, before a bracket or quote, before a number; "v. 2.0".
+REPAIRS = (
+    (r"[ \t\r]+(?=\n)", ""),
+    (r"(?m)^[ \t]*(?:(?:/\*+|\*+/?|//+|#+|;+|--+|%+|>+)[ \t]*)?", ""),
+    (r"\b(of|the|or|and|a|an|to|in|for|by|under|with|this|from|as|is|are|any)\n(?=[a-z]|MERCHANTABILITY|FITNESS|(?:GNU|General|Free|Mozilla|Software|License)\b)", "$1 "),
+    (r"\b(GNU|Mozilla|Lesser|General|Public|Free|Software|Apache|MIT|BSD)\n(?=(?:Lesser|General|Public|License|Software|Foundation)\b)", "$1 "),
+    (r"([^.!?:;\n])\n(?=[(\"])", "$1 "),
+    (r"(?i)\b(version)\n(?=[0-9])", "$1 "),
+    (r"(?i)\bv\.\s+(?=[0-9])", "v "),
+)
 CUT, OTHER = r"[.!?]+[ \t\r\n]+|\n+", "[^a-z0-9]+"
 
 
@@ -85,14 +95,20 @@ def normalised(sentence: str) -> str:
 
 
 KEYS = {normalised(s): name for name, found in SENTENCES.items() for s in found}
-assert all(any(t in s for t in TRIGGERS) for s in KEYS)
+#: Further sentences of official notices, as they read once REPAIRS are made.
+NOTICES = KEYS | {
+    normalised('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'): "apache-use",
+}
+assert all(any(t in s for t in TRIGGERS) for s in NOTICES)
 
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
+    for sign, other in REPAIRS:
+        text = F.regexp_replace(text, sign, other)
     joined = F.regexp_replace(F.regexp_replace(text, WRAPPED, "$1 $2"), SHOUTED, "$1 $2")
     plain = F.transform(F.split(joined, CUT), lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
-    known = F.create_map(*[F.lit(x) for pair in KEYS.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in NOTICES.items() for x in pair])
     return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
 
 
