@@ -7,20 +7,21 @@ plus one random offset a source say how often a document is taken: once for each
 by at most one from the expected number, and a source's words from its target by about its largest document.
 
 The running sum is the number of documents before times one constant, so a distributed rank gives it: a range partition by source and order, and
-one row of counts a part. A source with a third of all rows spreads over its share of the parts. Rerunning gives the same rows.
+one row of counts a part. A source with a third of all rows spreads over its share of the parts. The order is that of size, text and doc_id, so
+rerunning gives the same rows, in whatever order the input comes; rows that agree in all three are interchangeable.
 
 Defined results. Null, empty or blank text: size 0; it takes part and adds no words. Null source: a source of its own, the last. A source without
-words: target 0, nothing taken. Null doc_id: kept, ordered by the text's hash. Repeated rows: each is a document of its own. Empty table: no rows.
-Columns of the same names as results are replaced; others stay.
+words: target 0, nothing taken. Null doc_id: kept, ordered by the text's hash. Repeated rows: each is a document of its own. Very long texts: their
+words are counted in the row, nothing else of them is held. Empty table: no rows. Other columns, whatever their names, stay as they are in the mix.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weblode.llm.common import Scratch, numbered, ranked, table
+from weblode.llm.common import Scratch, numbered, ranked, table, text_keys
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 
@@ -54,32 +55,36 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return level.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mixed(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
-    """docs (slim: doc_id, source, size and what else is wanted) with source_size, target and copies."""
+def sized(docs: DataFrame, *others: Column) -> DataFrame:
+    """What mixing reads of docs (doc_id, text, source): source, size and the order of rows of one size, which their text and doc_id decide; and others."""
+    h1, h2 = text_keys(F.col("text"))
+    return docs.select("doc_id", "source", quick_word_count(F.col("text")).alias("size"), h1, h2, *others)
+
+
+def mixed(spark: SparkSession, rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
+    """sized rows with source_size, target and copies."""
     scratch = Scratch(spark, "mixing")
-    kept = [c for c in docs.columns if c not in ("source_size", "target", "copies", "place")]
-    rows = scratch.store(docs.select(*kept).withColumn("_tie", F.xxhash64(F.lit(seed), "doc_id", "size")), "sized")
-    placed = ranked(scratch, rows, ["source"], [F.col("size"), F.col("_tie"), F.col("doc_id")], "ranked")
-    found = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumnRenamed("source", "_source")
-    out = placed.join(found, placed["source"].eqNullSafe(found["_source"]))
+    rows = scratch.store(rows.withColumn("tie", F.xxhash64(F.lit(seed), "h1", "h2", "doc_id")), "sized")
+    placed = ranked(scratch, rows, ["source"], [F.col("size"), F.col("tie"), F.col("h1"), F.col("h2"), F.col("doc_id")], "ranked")
+    found = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumnRenamed("source", "named")
+    out = placed.join(found, placed["source"].eqNullSafe(found["named"]))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
     passed = F.floor(F.col("place") * rate + offset) - F.floor((F.col("place") - 1) * rate + offset)
-    return out.withColumn("copies", F.least(passed, F.lit(int(most)).cast("long"))).drop("_tie", "_source", "place")
+    return out.withColumn("copies", F.least(passed, F.lit(int(most)).cast("long"))).drop("tie", "h1", "h2", "named", "place")
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
     """The mix itself: rows of docs (doc_id, text, source and any others), each as often as it is taken."""
     rows = numbered(Scratch(spark, "mix"), docs)
-    slim = rows.select("_rid", "doc_id", "source", quick_word_count(F.col("text")).alias("size"))
-    taken = mixed(spark, slim, weights, share, most, seed).where("copies > 0").select(F.col("_rid"), F.col("copies").cast("int").alias("_copies"))
-    out = rows.join(taken.hint("shuffle_hash"), "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    slim = sized(rows.select("rid", "doc.doc_id", "doc.text", "doc.source"), F.col("rid"))
+    taken = mixed(spark, slim, weights, share, most, seed).where("copies > 0").select("rid", F.col("copies").cast("int").alias("copies"))
+    return rows.join(taken, "rid").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", quick_word_count(F.col("text")).alias("size"))
-    return mixed(spark, docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    out = mixed(spark, sized(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 QUERIES = {"op8_mixing": op8_mixing}
