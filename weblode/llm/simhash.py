@@ -6,11 +6,12 @@ fingerprint and emit once.
 
 What is shuffled are blobs of 3-byte keys, not rows: a key is 24 bits of a linear hash of the variant, next to the partition number that other
 bits of that hash give. The number of partitions follows the count of fingerprints, so that a partition holds about 2 ** 23 variants at any
-size. Keys that meet by chance fail the Hamming check. In a meeting of two to eight fingerprints all pairs are verified; in a larger one the
+size. A blob carries the fingerprints that have a key in it and no others, each once with the number of its keys, so a variant never takes more than 13
+bytes and what is shuffled grows with the number of fingerprints. Keys that meet by chance fail the Hamming check. In a meeting of two to eight fingerprints all pairs are verified; in a larger one the
 full variants are made again, and those that really are equal (hence all within the radius of each other) are linked to their least. A partition
 passes on a spanning forest of its links, so a group of g near copies gives at most g rows a partition, never all pairs, and no component is torn.
 
-Defined results. Null text: as empty. Empty or blank text: no words, fingerprint zero, linked like any other. Fewer words than the shingle: the
+Defined results. Null text: as empty. Very long texts: the words and shingle hashes of one text are held at a time, 8 bytes a word. Empty or blank text: no words, fingerprint zero, linked like any other. Fewer words than the shingle: the
 whole sequence is one shingle. Repeated rows: all kept, same fingerprint. Null doc_id: the row keeps a fingerprint and a component; the least
 doc_id ignores nulls, so a component without any doc_id has null. Empty table: no rows. Other columns of the input are not read.
 """
@@ -31,7 +32,7 @@ from weblode.llm.common import Scratch, batches, components, forest, numbered, t
 
 SEED = 42
 #: Fingerprints whose variants are made at once, and those of one blob.
-SLICE, CHUNK = 512, 4096
+SLICE, CHUNK = 512, 2048
 KEY_BITS = 24
 
 
@@ -113,25 +114,24 @@ def _place(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def emitter(half: int, bits: int):
-    """Arrow batches of (fp) to blobs (part, fps, counts, keys): keys in the order of fps, counts[i] of them from fps[i]."""
+    """Arrow batches of (fp) to blobs (part, fps, counts, keys): keys in the order of fps, counts[i] of them from fps[i], all of which have some."""
 
     def blobs(fps: np.ndarray, masks: np.ndarray, linear: Linear) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        many = 1 << bits
-        keys: list[list[bytes]] = [[] for _ in range(many)]
-        counts = np.zeros((len(fps), many), np.uint16)
+        parts, keys = [], []
         for k in range(0, len(fps), SLICE):
-            h = (linear(fps[k : k + SLICE])[:, None] ^ masks[None, :]).ravel()
-            part, key = _place(h, bits)
-            owner = np.repeat(np.arange(len(h) // len(masks)), len(masks))
-            counts[k : k + SLICE] = np.bincount(owner * many + part, minlength=(len(h) // len(masks)) * many).reshape(-1, many)
-            order = np.argsort(part, kind="stable")
-            packed = key[order].view(np.uint8).reshape(-1, 4)[:, :3]
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=many))])
-            for p in range(many):
-                keys[p].append(packed[cuts[p] : cuts[p + 1]].tobytes())
-        head = fps.tobytes()
-        for p in range(many):
-            yield p, head, np.ascontiguousarray(counts[:, p]).tobytes(), b"".join(keys[p])
+            part, key = _place((linear(fps[k : k + SLICE])[:, None] ^ masks[None, :]).ravel(), bits)
+            parts.append(part)
+            keys.append(key)
+        part, key = np.concatenate(parts), np.concatenate(keys)
+        order = np.argsort(part, kind="stable")
+        part, owner = part[order], (order // len(masks)).astype(np.int32)
+        packed = key[order].view(np.uint8).reshape(-1, 4)[:, :3]
+        first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
+        counts, heads, of = np.diff(np.append(first, len(part))).astype(np.uint16), fps[owner[first]], part[first]
+        edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
+        starts = np.append(first, len(part))[edges]
+        for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            yield int(of[x]), heads[x:y].tobytes(), counts[x:y].tobytes(), packed[starts[k] : starts[k + 1]].tobytes()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linear = Linear()
@@ -216,13 +216,13 @@ def meeter(half: int, bits: int):
     return run
 
 
-def links(fps: DataFrame, count: int, half: int = 2) -> DataFrame:
-    """(a, b): pairs of the different fingerprints fps (fp) whose components are those of all links within 2 * half bits."""
+def links(fps: DataFrame, count: int, half: int = 2, bits: int | None = None) -> DataFrame:
+    """(a, b): pairs of the different fingerprints fps (fp) whose components are those of all links within 2 * half bits. bits: of the partition number, else by count."""
     each = sum(1 for _ in flips(half))
-    bits = max(0, (max(1, count * each) - 1).bit_length() - 23)
+    bits = max(0, (max(1, count * each) - 1).bit_length() - 23) if bits is None else bits
     spread = max(1, min(count // CHUNK, 1 << 16))
     blobs = fps.select("fp").repartition(spread, "fp").mapInArrow(emitter(half, bits), "part int, fps binary, counts binary, keys binary")
-    return blobs.groupBy("part").applyInPandas(meeter(half, bits), "a long, b long").distinct()
+    return blobs.repartition(1 << bits, "part").groupBy("part").applyInPandas(meeter(half, bits), "a long, b long").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -241,9 +241,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radi
 def distinct_documents(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """docs with one document of each component: that with the least doc_id (the first such row, if it is repeated)."""
     rows = numbered(Scratch(spark, "distinct"), docs)
-    found = near_duplicates(spark, rows.select(F.col("_rid").alias("doc_id"), "text"), shingle, radius).select(F.col("doc_id").alias("_rid"), "component_id")
-    stays = found.join(rows.select("_rid", "doc_id"), "_rid").groupBy("component_id").agg(F.min(F.struct("doc_id", "_rid")).alias("first"))
-    return rows.join(stays.select(F.col("first._rid").alias("_rid")).hint("shuffle_hash"), "_rid", "left_semi").drop("_rid")
+    found = near_duplicates(spark, rows.select(F.col("rid").alias("doc_id"), F.col("doc.text").alias("text")), shingle, radius).select(F.col("doc_id").alias("rid"), "component_id")
+    stays = found.join(rows.select("rid", F.col("doc.doc_id").alias("doc_id")), "rid").groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
+    return rows.join(stays.select(F.col("first.rid").alias("rid")), "rid", "left_semi").select("doc.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
