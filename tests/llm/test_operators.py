@@ -209,7 +209,7 @@ def test_decontaminate(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     kept, found = decontaminate.leaks(spark, docs, bench)
     got = {}
-    for r in found.join(kept, "_rid").select("doc_id", "item_id").collect():
+    for r in found.join(kept, "rid").select("doc.doc_id", "item_id").collect():
         got.setdefault(r[0], set()).add(r[1])
     assert got.pop(None) == {1}
     assert set(got) == set(want) and all(want[k] in got[k] for k in want)
@@ -242,7 +242,7 @@ def test_decontaminate_finds_replaced_words_and_short_items(spark, others):
     # the answer, an item without full stops, is the whole item
     bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
     kept, found = decontaminate.leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), bench)
-    assert {tuple(r) for r in found.join(kept, "_rid").select("doc_id", "item_id").collect()} == want
+    assert {tuple(r) for r in found.join(kept, "rid").select("doc.doc_id", "item_id").collect()} == want
 
 
 def brute_lcs(a, b):
@@ -368,7 +368,7 @@ def test_lines_links_short_near_copies(spark):
 
 
 def test_mixing(spark, docs, rows):
-    slim = docs.select("doc_id", "source", mixing.quick_word_count(docs["text"]).alias("size"))
+    slim = mixing.sized(docs)
     out = mixing.mixed(spark, slim).collect()
     assert sorted(r["size"] for r in out) == sorted(len(words_of(r[1])) for r in rows)
     sizes = {}
@@ -406,6 +406,10 @@ def test_sharding(spark, docs, rows):
     assert len(out) == len(rows)
     assert sorted((r["size"], r["text_crc32"]) for r in out) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
     total, largest = sum(r["size"] for r in out), max(r["size"] for r in out)
+    shards = {}
+    for r in out:
+        shards.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
+    assert all(len(found) == 1 for found in shards.values())
     for s in range(8):
         mine = [r for r in out if r["shard"] == s]
         assert sorted(r["slot"] for r in mine) == list(range(len(mine)))
@@ -414,6 +418,35 @@ def test_sharding(spark, docs, rows):
     assert whole.count() == len(rows) and {r[0] for r in whole.select("shard").distinct().collect()} == {0, 1, 2}
 
 
+def test_sharding_keeps_large_groups_whole(spark):
+    rng = random.Random(4)
+    copy, huge = prose(rng, 900), prose(rng, 4000)
+    rows = [(k, prose(rng, rng.randint(1, 300)), "en", f"s{k % 3}", 1) for k in range(300)] + [(1000 + k, copy, "de", None, 1) for k in range(12)] + [(2000 + k, huge, "en", "s1", 1) for k in range(40)]
+    out = sharding.kd_shards(spark, sharding.described(spark.createDataFrame(rows, SCHEMA)), 8).collect()
+    total, group = sum(r["size"] for r in out), 40 * (len(huge.encode()) + 1)
+    assert group > total / 8 > 12 * len(copy)
+    sizes = [sum(r["size"] for r in out if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * 12 * (len(copy.encode()) + 1)
+    # more bytes than a shard should have: several shards; anything less: one
+    assert len({r["shard"] for r in out if r["doc_id"] >= 2000}) > 1
+    assert len({r["shard"] for r in out if 1000 <= r["doc_id"] < 2000}) == 1
+
+
+@pytest.mark.parametrize("bits", [0, 3, 10])
+def test_simhash_shuffles_in_proportion(spark, bits):
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64))
+    fps = np.unique(np.concatenate([fps, fps[:50] ^ np.uint64(0b1011), fps[50:60] ^ np.uint64(1 << 40)]))
+    each = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    blobs = each.repartition(2).mapInArrow(simhash.emitter(2, bits), "part int, fps binary, counts binary, keys binary").collect()
+    assert sum(len(r["keys"]) for r in blobs) == 3 * 2081 * len(fps)
+    assert all(0 < len(r["fps"]) // 8 <= len(r["keys"]) // 3 and 0 not in np.frombuffer(r["counts"], np.uint16) for r in blobs)
+    assert sum(len(r["fps"]) + len(r["counts"]) + len(r["keys"]) for r in blobs) <= 13 * 2081 * len(fps)
+    want = {(min(a, b), max(a, b)) for k, a in enumerate(fps.view(np.int64).tolist()) for b in fps.view(np.int64)[:k].tolist() if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
+    got = {(min(r), max(r)) for r in simhash.links(each, len(fps), bits=bits).collect()}
+    assert got == want and len(want) == 60
+
+
 def test_empty_tables(spark, nothing):
     assert bytespans.repeated_bytes(spark, nothing).count() == 0
     assert passages.repeated_words(spark, nothing).count() == 0

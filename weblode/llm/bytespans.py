@@ -217,7 +217,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     rows = scratch.store(anchor_rows(texts, length, gram), "anchors")
     again = rows.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ah")
     seeds = rows.join(again, "ah", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("ah", "first", "n", "off")).alias("at"))
-    occ = scratch.store(segments(texts.join(seeds.hint("shuffle_hash"), "tid"), length), "segments")
+    occ = scratch.store(segments(texts.join(seeds, "tid"), length), "segments")
     scratch.drop("anchors")
     classes = scratch.store(occ.groupBy("ah", "seg").agg(F.count(F.lit(1)).alias("times"), F.any_value("n").alias("n"), F.any_value("off").alias("off"), F.any_value("bytes").alias("bytes")), "classes")
     several = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ah")
@@ -232,7 +232,7 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     runs = found.select("ah", "seg", (F.col("begin") + F.col("first")).alias("begin"), F.coalesce("many", "n").alias("many"))
     runs = runs.unionByName(classes.where("times > 1").select("ah", "seg", F.lit(0).alias("begin"), F.col("n").alias("many")))
     covered = occ.select("ah", "seg", "tid", "first").join(runs, ["ah", "seg"]).groupBy("tid").agg(F.collect_list(F.struct((F.col("first") + F.col("begin")).alias("first"), F.col("many").alias("n"))).alias("at"))
-    by_text = removal(texts.join(covered.hint("shuffle_hash"), "tid", "left"), length)
+    by_text = removal(texts.join(covered, "tid", "left"), length)
     h1, h2 = text_keys(F.col("text"))
     return docs.select("doc_id", h1, h2).join(by_text, ["h1", "h2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (single-machine tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and the session is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/weblode-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 class Scratch:
-    """Tables stored in the shared folder. They cut lineage and survive a lost executor; each is deleted by drop(), or when the driver ends."""
+    """Tables stored in the shared folder. They cut lineage and survive a lost executor; each is deleted by drop(), by the end of released(), or when the driver ends."""
+
+    live: ClassVar[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -40,6 +47,7 @@ class Scratch:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
         self._fs.deleteOnExit(self._path(self.root))
+        Scratch.live.append(self)
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it again; the shuffle files that it took are deleted as soon as it is written."""
@@ -55,6 +63,18 @@ class Scratch:
         for name in names:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
+    @staticmethod
+    @contextmanager
+    def released() -> Iterator[None]:
+        """Delete at the end what was stored within; only for code that has written its result elsewhere by then."""
+        before = len(Scratch.live)
+        try:
+            yield
+        finally:
+            for s in Scratch.live[before:]:
+                s._fs.delete(s._path(s.root), True)
+            del Scratch.live[before:]
+
 
 def text_keys(text: Column) -> tuple[Column, Column]:
     """128 bits that stand for a whole text: XXH64 under two seeds; null counts as empty."""
@@ -141,8 +161,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def numbered(scratch: Scratch, docs: DataFrame, name: str = "numbered") -> DataFrame:
-    """docs, stored with a number for each row (_rid), by which slim results find their rows again."""
-    return scratch.store(docs.withColumn("_rid", F.monotonically_increasing_id()), name)
+    """Stored rows (rid, doc): a number for each row of docs, by which slim results find it again, and its columns as one struct, so that no name clashes."""
+    whole = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    return scratch.store(docs.select(F.monotonically_increasing_id().alias("rid"), whole.alias("doc")), name)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -119,15 +119,15 @@ def subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def tokens(docs: DataFrame, items: Items) -> DataFrame:
-    """(_rid, ids): the text's words as numbers."""
+    """(rid, ids): the words of the texts (rid, text) as numbers."""
     use = items.words
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, 2 << 20):
             h, at = words(b.column(1).fill_null(""))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(use(h)))], ["_rid", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(use(h)))], ["rid", "ids"])
 
-    return docs.select("_rid", "text").mapInArrow(run, "_rid long, ids array<int>")
+    return docs.select("rid", "text").mapInArrow(run, "rid long, ids array<int>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +322,7 @@ class Search:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> tuple[DataFrame, DataFrame]:
-    """Stored docs with _rid, and (_rid, item_id, share) of the items found in them."""
+    """Stored rows (rid, doc) of docs, and (rid, item_id, share) of the items found in them."""
     scratch = Scratch(spark, "leaks")
     rows = numbered(scratch, docs)
     cast = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -333,7 +333,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int
         items = Items([r["item_id"] for r in some], [r["text"] for r in some])
         if not items.ids:
             continue
-        stored = scratch.store(tokens(rows, items), f"tokens{k}")
+        stored = scratch.store(tokens(rows.select("rid", F.col("doc.text").alias("text")), items), f"tokens{k}")
         n = frequencies(stored, items.many)
         share = n[:-1] / max(1, n[-1])
         weight = np.where(share > STOP, 0.0, np.log((n[-1] + 1) / (n[:-1] + 0.5)))
@@ -345,12 +345,12 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int
                 every, at = _flat(b.column(1))
                 out = [(rid, item, share) for r, rid in enumerate(b.column(0).to_pylist()) for item, share in search(every[at[r] : at[r + 1]])]
                 columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["_rid", "item_id", "share"])
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["rid", "item_id", "share"])
 
-        found.append(scratch.store(stored.select("_rid", "ids").mapInArrow(run, "_rid long, item_id long, share double"), f"found{k}"))
+        found.append(scratch.store(stored.select("rid", "ids").mapInArrow(run, "rid long, item_id long, share double"), f"found{k}"))
         scratch.drop(f"tokens{k}")
     if not found:
-        return rows, rows.sparkSession.createDataFrame([], "_rid long, item_id long, share double")
+        return rows, rows.sparkSession.createDataFrame([], "rid long, item_id long, share double")
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
@@ -360,13 +360,13 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item."""
     rows, found = leaks(spark, docs, benchmark)
-    return rows.join(found.select("_rid").distinct().hint("shuffle_hash"), "_rid", "left_anti").drop("_rid")
+    return rows.join(found.select("rid").distinct(), "rid", "left_anti").select("doc.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, found = leaks(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    each = found.groupBy("_rid").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"))
-    out = rows.select("_rid", "doc_id").join(each, "_rid", "left")
+    each = found.groupBy("rid").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"))
+    out = rows.select("rid", F.col("doc.doc_id").alias("doc_id")).join(each, "rid", "left")
     return out.select("doc_id", F.col("item_ids").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), F.coalesce("share", F.lit(0.0)).alias("share"))
 
 

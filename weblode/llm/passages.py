@@ -122,7 +122,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     rows = scratch.store(anchor_rows(texts.where("least is not null"), window, gram), "anchors")
     again = rows.groupBy("ah").agg(F.min("tid").alias("t0"), F.max("tid").alias("t1")).where("t0 < t1").select("ah")
     seeds = rows.join(again, "ah", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("ah", "first", "n")).alias("at"))
-    occ = scratch.store(occurrences(texts.join(seeds.hint("shuffle_hash"), "tid"), window), "occurrences")
+    occ = scratch.store(occurrences(texts.join(seeds, "tid"), window), "occurrences")
     scratch.drop("anchors")
     classes = scratch.store(occ.groupBy("ah", "seg").agg(F.min("least").alias("m"), F.any_value("windows").alias("windows")), "classes")
     several = classes.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ah")
@@ -134,7 +134,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     full = met.where("least > m").select("tid", "first", "n")
     part = met.where("least = m and places is not null").select("tid", F.explode(F.transform("places", lambda o: F.col("first") + o)).alias("first"), F.lit(1).alias("n"))
     covered = full.unionByName(part).groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("at"))
-    by_text = removal(texts.join(covered.hint("shuffle_hash"), "tid", "left"), window)
+    by_text = removal(texts.join(covered, "tid", "left"), window)
     h1, h2 = text_keys(F.col("text"))
     mine = docs.select("doc_id", h1, h2).join(by_text, ["h1", "h2"])
     copy, own = F.col("doc_id") > F.col("least"), F.col("doc_id") == F.col("least")

@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from weblode.llm.common import batches, table
 
@@ -362,13 +363,13 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             score = use.score(margins(use, b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*kept, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, score double, predicted int")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that a model trained on them rejects."""
-    return scored(docs, train(docs, labels)).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    return scored(docs.select(whole.alias("doc"), "text"), train(docs, labels)).where("predicted = 0").select("doc.*")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
