@@ -304,9 +304,10 @@ def test_vectors(spark):
     assert sum(w[1] for w in want) > 800
 
 
-def test_vectors_recall_of_projections():
+@pytest.mark.parametrize("dim", [3, 16, 64, 300])
+def test_vectors_recall_of_projections(dim):
     rng = np.random.default_rng(9)
-    x = rng.standard_normal((400, 64))
+    x = rng.standard_normal((300, dim))
     y = np.concatenate([x + s * rng.standard_normal(x.shape) for s in (0.05, 0.15, 0.2, 0.25)])
     ux, uy = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
     want = {(i, j) for i, j in zip(*np.nonzero(ux @ uy.T >= 0.98), strict=True)}
@@ -314,6 +315,34 @@ def test_vectors_recall_of_projections():
     assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 400
 
 
+@pytest.mark.parametrize("dim", [8, 64])
+def test_vectors_in_cells(spark, dim):
+    """Large labels, cut to cells and blocks: nothing counted twice, and the recall that was calibrated."""
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal((1500, dim))
+    near = base[:500] + 0.19 * rng.standard_normal((500, dim))
+    hot = base[7] + 0.05 * rng.standard_normal((120, dim))
+    x = np.concatenate([base, near, hot])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, v, 1) for k, v in enumerate(x.tolist())] + [(9000 + k, [1.0] * (k + 1), 1) for k in range(1100)]
+    out = {r["vec_id"]: r for r in vectors.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell=100, block=64).collect()}
+    close = u @ u.T >= 0.98
+    np.fill_diagonal(close, False)
+    want, got = close.sum(axis=1), np.array([out[k]["n_links"] for k in range(len(x))])
+    assert (got <= want).all() and want.sum() > 10000 and got.sum() >= 0.99 * want.sum()
+    assert all(out[9000 + k]["n_links"] == 0 or k + 1 == dim for k in range(1100))
+
+
+def test_vectors_effort_grows_slowly(spark):
+    n = spark.createDataFrame([(10**k,) for k in range(3, 11)], "n long")
+    from pyspark.sql import functions as F
+
+    rows = [tuple(r) for r in n.select("n", *vectors.effort(F.col("n"))).collect()]
+    assert rows[0][1:] == (0, 1)
+    for (n0, _, t0), (n1, _, t1) in zip(rows[1:], rows[2:], strict=False):
+        assert t1 / t0 <= (n1 / n0) ** 0.3
+
+
 def brute_lines(rows, c=lines.SHINGLE):
     at, sets = [], []
     for n, (i, t, *_) in enumerate(rows):

@@ -239,10 +239,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 4, radi
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one document of each component: that with the least doc_id (the first such row, if it is repeated)."""
+    """docs with one document of each component: that with the least doc_id (the first such row, if it is repeated; one without doc_id only if none has any)."""
     rows = numbered(Scratch(spark, "distinct"), docs)
     found = near_duplicates(spark, rows.select(F.col("rid").alias("doc_id"), F.col("doc.text").alias("text")), shingle, radius).select(F.col("doc_id").alias("rid"), "component_id")
-    stays = found.join(rows.select("rid", F.col("doc.doc_id").alias("doc_id")), "rid").groupBy("component_id").agg(F.min(F.struct("doc_id", "rid")).alias("first"))
+    stays = found.join(rows.select("rid", F.col("doc.doc_id").alias("doc_id")), "rid").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("first"))
     return rows.join(stays.select(F.col("first.rid").alias("rid")), "rid", "left_semi").select("doc.*")
 
 
