@@ -285,6 +285,39 @@ def test_licences_official_notices(spark):
     assert [(r["name"], r["licences"]) for r in out if r["licences"] != [r["name"]]] == []
 
 
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+BSD2 = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."
+BSD3 = BSD2 + "\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of\nthis software and associated documentation files (the "Software"), to deal in\nthe Software without restriction, including without limitation the rights to\nuse, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of\nthe Software, and to permit persons to whom the Software is furnished to do so,\nsubject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.'
+ISC = 'Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS.'
+LGPL = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+#: What each text must give, written by hand: at least one for each rule.
+LICENCES = [
+    ("Released under the MIT License.", "MIT"), (MIT, "MIT"), ("MIT License\n\nCopyright (c) 2020 Someone\n\n" + MIT, "MIT"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+    ('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at', "Apache-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), (GPL.format(3), "GPL-3.0-or-later"), (GPL.format(2), "GPL-2.0-or-later"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n", "GPL-2.0"),
+    ("Licensed under the GNU General Public License, version 2.", "GPL-2.0"), ("Licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"), ("GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "LGPL-3.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n  Version 2.1, February 1999", "LGPL-2.1"), (LGPL, "LGPL-2.1-or-later"),
+    ("Licensed under the Mozilla Public License, Version 2.0.", "MPL-2.0"), ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL-2.0"), ("Mozilla Public License Version 2.0\n====", "MPL-2.0"),
+    (ISC, "ISC"), ("ISC License\n\n" + ISC, "ISC"), ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"), (BSD2, "BSD-2-Clause"), ("BSD 2-Clause License\n\n" + BSD2, "BSD-2-Clause"),
+    ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"), (BSD3, "BSD-3-Clause"), ("BSD 3-Clause License\n\nCopyright (c) 2021, Someone\n\n" + BSD3, "BSD-3-Clause"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC0 1.0.", "CC0-1.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("Copyright, all rights reserved.", "Proprietary"),
+    (BSD3 + "\n\nReleased under the MIT License.", "BSD-3-Clause,MIT"), (BSD2 + "\n" + BSD3, "BSD-2-Clause,BSD-3-Clause"), ("The license of the sea is wide.", ""), ("Permission is hereby granted, free of charge.", ""),
+]
+
+
+def test_licences_every_rule(spark):
+    marks = ["", "    ", "# ", " * ", "// "]
+    rows = [(mark + text.replace("\n", "\n" + mark), name, mark) for text, name in LICENCES for mark in marks]
+    out = licences.scanned(spark.createDataFrame(rows, "text string, name string, mark string")).collect()
+    assert [(r["name"], r["mark"], r["licences"], r["sentence_ids"]) for r in out if ",".join(r["licences"]) != r["name"]] == []
+    seen = {",".join(f"<{i}>" for i in rule) for _, rule in licences.RULES} - {",".join(f"<{i}>" for i in rule) for _, rule in licences.RULES for r in out if "".join(f"<{i}>" for i in rule) in "".join(f"<{i}>" for i in r["sentence_ids"])}
+    assert not seen
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((30, 64))

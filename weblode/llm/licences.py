@@ -3,11 +3,13 @@
 A text is cut to sentences at full stops, question and exclamation marks before white space and at line ends; a line that plainly goes on in the next
 one is joined to it, once indents and comment marks are gone. A sentence in lower case, with every run of other signs than a-z and 0-9 as one space, is looked up among the known sentences.
 The identifiers of a text, in order, are its sequence (sentences that aren't known leave no trace in it). A rule is an ordered list of identifiers
-and matches where these follow one another. Both tables are constants of this module, so the lookup is an expression on the row: no join, no shuffle.
+and matches where these follow one another. Longer rules come first, and what a rule has matched is used up, so the sentences of a notice that another
+notice contains name the longer one alone. Both tables are constants of this module, so the lookup is an expression on the row: no join, no shuffle.
 Texts without any of TRIGGERS, one of which every known sentence contains, skip the work.
 
-Defined results. Null, empty or blank text: empty sequence, no licence. Null doc_id: kept. Repeated rows and copies: each row has its result. A rule
-that matches twice is named once. Empty table: no rows. Other columns are not read.
+Defined results. Null, empty or blank text: empty sequence, no licence. Very long texts: the whole text is cut, in the row. Null doc_id: kept. Repeated rows
+and copies: each row has its result. A rule that matches twice is named once. Empty table: no rows. Other columns are not read and stay, but for sentence_ids
+and licences, which are replaced.
 """
 
 from __future__ import annotations
@@ -49,6 +51,20 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "gpl-free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
     "gpl-warranty": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",),
     "gpl-details": ("See the GNU General Public License for more details",),
+    "gpl2-free": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
+    "lgpl-free": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",),
+    "lgpl-warranty": ("This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",),
+    "title-apache": ("Apache License",),
+    "title-gpl": ("GNU General Public License",),
+    "title-lgpl": ("GNU Lesser General Public License",),
+    "dated-apache-2": ("Version 2.0, January 2004", "Version 2.0, January 2004 http://www.apache.org/licenses/", "Version 2.0, January 2004 https://www.apache.org/licenses/"),
+    "dated-gpl-3": ("Version 3, 29 June 2007",),
+    "dated-gpl-2": ("Version 2, June 1991",),
+    "dated-lgpl-21": ("Version 2.1, February 1999",),
+    "title-mpl-2": ("Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"),
+    "title-bsd-3": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "title-bsd-2": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "title-isc": ("ISC License", "The ISC License"),
     "unlicense": ("This is free and unencumbered software released into the public domain",),
 }
 #: Licence and the identifiers that must follow one another.
@@ -59,7 +75,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("apache-use", "apache-obtain")),
     ("GPL-3.0", ("ref-gpl-3",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-warranty")),
+    ("GPL-3.0", ("title-gpl", "dated-gpl-3")),
     ("GPL-2.0", ("ref-gpl-2",)),
+    ("GPL-2.0", ("title-gpl", "dated-gpl-2")),
+    ("GPL-2.0-or-later", ("gpl2-free", "gpl-warranty")),
+    ("LGPL-3.0", ("title-lgpl", "dated-gpl-3")),
+    ("LGPL-2.1", ("title-lgpl", "dated-lgpl-21")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-warranty")),
+    ("Apache-2.0", ("title-apache", "dated-apache-2")),
+    ("MPL-2.0", ("title-mpl-2",)),
+    ("BSD-3-Clause", ("title-bsd-3",)),
+    ("BSD-2-Clause", ("title-bsd-2",)),
+    ("ISC", ("title-isc",)),
     ("LGPL-3.0", ("ref-lgpl-3",)),
     ("MPL-2.0", ("ref-mpl-2",)),
     ("ISC", ("isc-grant", "as-is-isc")),
@@ -99,7 +126,9 @@ KEYS = {normalised(s): name for name, found in SENTENCES.items() for s in found}
 NOTICES = KEYS | {
     normalised('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'): "apache-use",
 }
-assert all(any(t in s for t in TRIGGERS) for s in NOTICES)
+#: Rules in the order in which they match.
+ORDERED = sorted(RULES, key=lambda r: -len(r[1]))
+assert all(any(all(any(t in s for t in TRIGGERS) for s, i in NOTICES.items() if i == name) for name in rule) for _, rule in RULES)
 
 
 def identifiers(text: Column) -> Column:
@@ -113,10 +142,11 @@ def identifiers(text: Column) -> Column:
 
 
 def matched(ids: Column) -> Column:
-    """Names of the licences whose rules match, sorted."""
-    sequence = F.concat(F.lit(","), F.array_join(ids, ","), F.lit(","))
-    rules = F.array(*[F.when(F.contains(sequence, F.lit("," + ",".join(rule) + ",")), F.lit(name)) for name, rule in RULES])
-    return F.array_sort(F.array_distinct(F.filter(rules, lambda x: x.isNotNull())))
+    """Names of the licences whose rules match, sorted: each rule's identifiers are replaced by =name=, longer rules first."""
+    sequence = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
+    for name, rule in ORDERED:
+        sequence = F.replace(sequence, F.lit("".join(f"<{i}>" for i in rule)), F.lit(f"={name}="))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(sequence, F.lit("=([^=<>]+)="), F.lit(1))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -135,18 +165,18 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     keys, names = ", ".join(map(quote, KEYS)), ", ".join(map(quote, KEYS.values()))
-    rules = ", ".join(f"CASE WHEN contains(sequence, {quote(',' + ','.join(rule) + ',')}) THEN {quote(name)} END" for name, rule in RULES)
+    sequence = "array_to_string(list_transform(ids, lambda i: '<' || i || '>'), '')"
+    for name, rule in ORDERED:
+        sequence = f"replace({sequence}, {quote(''.join(f'<{i}>' for i in rule))}, {quote(f'={name}=')})"
     return f"""
 WITH cut AS (
   SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(text, {quote(WRAPPED)}, '\\1 \\2', 'g'), {quote(SHOUTED)}, '\\1 \\2', 'g'), {quote(CUT)}) AS parts FROM documents
 ), known AS (
   SELECT doc_id, list_filter(list_transform(coalesce(parts, []::VARCHAR[]), lambda s: [{names}][list_position([{keys}], trim(regexp_replace(lower(s), {quote(OTHER)}, ' ', 'g')))]), lambda x: x IS NOT NULL) AS ids FROM cut
-), named AS (
-  SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS sequence FROM known
 )
 SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-  array_to_string(list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))), ',') AS licences
-FROM named"""
+  array_to_string(list_sort(list_distinct(regexp_extract_all({sequence}, '=([^=<>]+)=', 1))), ',') AS licences
+FROM known"""
 
 
 QUERIES = {"op4_licences": op4_licences}
