@@ -175,20 +175,55 @@ def test_toxicity_learns_insults_with_gaps(spark):
         marks.append((k, 1, int(toxic)))
     docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, labels)
-    extra = [(1000, "ba ke stupxidface li", "en", "s", 1), (1001, "mo w-o-r-t-h-l-e-s-s nu", "en", "s", 1), (1002, "mo i d i o t i c nu", "en", "s", 1), (1003, None, None, None, None), (1004, "", None, None, 0), (1005, "ba ke li " * 5000, None, None, 0), (1005, "ba ke li " * 5000, None, None, 0)]
+    extra = [(1000, "ba ke stupxidface li", "en", "s", 1), (1001, "mo w-o-r-t-h-l-e-s-s nu", "en", "s", 1), (1002, "mo i d i o t i c nu", "en", "s", 1), (1003, None, None, None, None), (1004, "", None, None, 0), (1005, "ba ke li " * 5000, None, None, 0), (1005, "ba ke li " * 5000, None, None, 0), (1006, "ba ke stxupidfxace li", "en", "s", 1), (1007, "ba ke st5pidface li", "en", "s", 1), (1008, "ba ke " * 15 + "s t u p i d f a c e li", "en", "s", 1), (1009, "ba " * 40_000 + "worthlzess", None, None, 1)]
     from pyspark.sql import functions as F
 
     out = {r["doc_id"]: r for r in toxicity.scored(docs.unionByName(spark.createDataFrame(extra, SCHEMA)).withColumn("score", F.lit("x")), model).collect()}
     held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 3 == 1]
     assert sum(out[k]["predicted"] == (k % 4 == 0) for k in held) >= 0.95 * len(held)
-    assert [out[k]["predicted"] for k in range(1001, 1006)] == [1, 1, 0, 0, 0]
-    assert out[1000]["score"] > max(out[k]["score"] for k in held if k % 4)
+    assert [out[k]["predicted"] for k in range(1000, 1010)] == [1, 1, 1, 0, 0, 0, 1, 1, 1, 1]
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert "doc_id" in toxicity.civil(docs, labels).columns
     none = toxicity.train(docs, labels.where("toxic = 0"))
     assert none is None and {r["score"] for r in toxicity.scored(docs, none).collect()} == {0.0}
 
 
+def test_subsequence_kernel():
+    """The kernel of short words against the sum over all pairs of subsequences, and the Nystroem map against the kernel of its landmarks."""
+    words, decay = ["abcab", "stupid", "stxupid", "aab", "idiotic", "1d1otic", "zzzz"], 0.85
+
+    def raw(a, b):
+        def feats(w):
+            out = {}
+            for i in range(len(w)):
+                for j in range(i + 1, len(w)):
+                    for k in range(j + 1, len(w)):
+                        if k - i < toxicity.SPAN:
+                            key = tuple("#" if c.isdigit() else c for c in (w[i], w[j], w[k]))
+                            out[key] = out.get(key, 0) + decay ** (k - i + 1)
+            return out
+
+        x, y = feats(a), feats(b)
+        return sum(v * y.get(c, 0) for c, v in x.items())
+
+    got = toxicity.Landmarks(words, decay).values(words)
+    want = np.array([[raw(a, b) / (raw(a, a) * raw(b, b)) ** 0.5 for b in words] for a in words])
+    assert np.allclose(got, want, atol=1e-5)
+    own, vectors = np.linalg.eigh(got**3)
+    root = vectors @ np.diag(1 / np.sqrt(np.maximum(own, 1e-6))) @ vectors.T
+    assert np.allclose((got**3 @ root) @ (got**3 @ root).T, got**3, atol=1e-4)
+
+
+def test_working_set_solves_for_all_rows():
+    rng = np.random.default_rng(3)
+    toxic, clean = rng.normal(1, 0.6, (40, 5)), rng.normal(-1, 0.6, (3000, 5))
+    toxic[:, -1] = clean[:, -1] = 3.0
+    w = toxicity._working_set(toxic, clean, 40)
+    side = np.concatenate([np.ones(40), -np.ones(3000)])
+    full = toxicity._svm(np.concatenate([toxic, clean]), side, np.where(side > 0, 10.0, 10.0 * min(1.0, 160 / 3000)), 60)
+    assert np.mean(np.sign(clean @ w) == np.sign(clean @ full)) > 0.995 and (clean @ w > 0).mean() < 0.02
+
+
 def test_decontaminate(spark):
     rng = random.Random(8)
     items = [prose(rng, rng.randint(14, 50)) + ". " + prose(rng, 6) + "." for _ in range(12)]
