@@ -9,7 +9,7 @@
    cosine is 0. Words outside the benchmark have no part in it, so neither they nor the size of the corpus hide a window.
    The least cosine is calibrated on the items themselves, with shifted windows, with a replaced word and with as many foreign words as LCS allows.
 4. The longest common subsequence of the item and the stretch around the window must reach LCS of the item, and that of its answer (its last sentence)
-   ANSWER. It can't be longer than the number of the stretch's words that are in the item, so stretches with fewer aren't computed: none of them could
+   ANSWER. It can't be longer than the number of words that both have, each as often as both do, so stretches with fewer aren't computed: none of them could
    be accepted. Every other candidate is checked; there is no cap.
 
 The benchmark is the stated query set: it is read in blocks of `block` items, each with its own pass, so what a task holds is bounded whatever its
@@ -219,14 +219,16 @@ class Search:
         self.rows = (space * weight[:, None]).astype(np.float32)
         self.queries = self._unit(np.stack([self.rows[p].sum(axis=0) for _, p in items.pieces]))
         self.of = np.array(items.of)
-        self.sets = np.zeros((len(items.ids), items.many), bool)
-        for k, row in enumerate(items.rows):
-            self.sets[k, row] = True
-        self.sets[:, 0] = False
+        self.bags = [np.unique(row[row > 0], return_counts=True) for row in items.rows]
+        # the items of each word, one after the other: as many numbers as the items have different words
+        holders = np.repeat(np.arange(len(self.bags)), [len(u) for u, _ in self.bags])
+        order = np.argsort(flat := np.concatenate([u for u, _ in self.bags]), kind="stable")
+        self.holders, self.first = holders[order], np.searchsorted(flat[order], np.arange(items.many + 1))
         self.lengths = np.array([len(row) for row in items.rows])
         self.slack = np.maximum(STEP, self.lengths // 4)
         sizes = np.array([len(piece) for _, piece in items.pieces])
         self.offsets = np.array([start for start, _ in items.pieces])
+        self.pad = int(self.offsets.max()) + 1
         self.classes = [(int(size), np.flatnonzero(sizes == size)) for size in np.unique(sizes)]
         self.least = self._calibrated()
 
@@ -268,26 +270,33 @@ class Search:
             out += self.rows[part[(k + runs) * step + j]]
         return out
 
-    def _may_reach(self, ids: np.ndarray, begins: np.ndarray, of: np.ndarray, best: dict[int, set[int]]) -> None:
-        """Add to best, by item, where those items begin whose stretch has enough of their words to reach LCS."""
+    def _may_reach(self, ids: np.ndarray, begins: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Codes (item, begin) of where those items begin whose stretch has enough of their words to reach LCS."""
+        wide, base = len(ids) + 2 * self.pad, int(begins.min())
+        span = int(begins.max()) - base + 1
+        seen = np.zeros(len(self.lengths) * span, bool)
+        seen[of * span + begins - base] = True
+        of, begins = np.divmod(np.flatnonzero(seen), span)
+        begins += base
         low = np.clip(begins - self.slack[of], 0, len(ids))
         high = np.clip(begins + self.lengths[of] + self.slack[of], 0, len(ids))
         first = int(low.min())
         part = ids[first : int(high.max())]
-        order = np.argsort(of, kind="stable")
-        begins, of, low, high = begins[order], of[order], low[order] - first, high[order] - first
-        items, at = np.unique(of, return_index=True)
-        at = np.append(at, len(of))
-        group = max(1, (1 << 21) // max(1, len(part)))
-        for g in range(0, len(items), group):
-            some = items[g : g + group]
-            count = np.zeros((len(some), len(part) + 1), np.int32)
-            np.cumsum(self.sets[some[:, None], part], axis=1, out=count[:, 1:])
-            x, y = at[g], at[min(g + group, len(items))]
-            row = np.searchsorted(some, of[x:y])
-            able = np.flatnonzero((count[row, high[x:y]] - count[row, low[x:y]]) / self.lengths[of[x:y]] >= LCS) + x
-            for item, begin in zip(of[able].tolist(), begins[able].tolist(), strict=True):
-                best.setdefault(item, set()).add(begin)
+        many = self.first[part + 1] - self.first[part]
+        at = np.repeat(np.arange(len(part)), many)
+        item = self.holders[np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first[part], many)]
+        size = len(part) + 1
+        upto = np.cumsum(np.bincount(item * size + at + 1, minlength=len(self.lengths) * size).astype(np.int32))
+        # running counts go on from item to item, which the difference within one item takes out
+        have = upto[of * size + high - first] - upto[of * size + low - first]
+        able = have >= LCS * self.lengths[of] - 1e-9
+        return of[able] * wide + begins[able] + self.pad
+
+    def _bound(self, item: int, part: np.ndarray) -> int:
+        """No common subsequence of the item and part is longer: their common words, each as often as in both."""
+        words, counts = self.bags[item]
+        at = np.minimum(np.searchsorted(words, part), len(words) - 1)
+        return int(np.minimum(np.bincount(at[words[at] == part], minlength=len(words)), counts).sum())
 
     def __call__(self, ids: np.ndarray) -> list[tuple[int, float]]:
         """Items in one document, as (item_id, share of the longest common subsequence); ids: its word numbers."""
@@ -295,7 +304,7 @@ class Search:
         if not n:
             return []
         heavy = np.concatenate([[0], np.cumsum(self.heavy[ids])])
-        best: dict[int, set[int]] = {}
+        found = []
         for size, pieces in self.classes:
             step, queries = _step(size), self.queries[pieces].T
             starts = np.arange(0, max(1, n - size + step), step)
@@ -306,19 +315,19 @@ class Search:
                 near = np.flatnonzero(self._unit(self._sums(ids, some, size, step)) @ queries >= self.least)
                 if len(near):
                     w, q = np.divmod(near, len(pieces))
-                    self._may_reach(ids, some[w] - self.offsets[pieces[q]], self.of[pieces[q]], best)
-        out = []
-        for item, begins in best.items():
-            row, answer, most = self.items.rows[item], self.items.answers[item], 0.0
-            slack = int(self.slack[item])
-            for begin in sorted(begins):
-                part = ids[max(0, begin - slack) : max(0, begin + len(row) + slack)]
-                share = subsequence(row, part) / len(row)
-                if share > most and share >= LCS and subsequence(answer, part) >= ANSWER * len(answer):
-                    most = share
-            if most:
-                out.append((self.items.ids[item], most))
-        return out
+                    found.append(self._may_reach(ids, some[w] - self.offsets[pieces[q]], self.of[pieces[q]]))
+        best: dict[int, float] = {}
+        for code in np.unique(np.concatenate(found)).tolist() if found else []:
+            item, begin = code // (n + 2 * self.pad), code % (n + 2 * self.pad) - self.pad
+            row, answer, slack = self.items.rows[item], self.items.answers[item], int(self.slack[item])
+            part = ids[max(0, begin - slack) : max(0, begin + len(row) + slack)]
+            least = max(LCS, best.get(item, 0.0)) * len(row) - 1e-9
+            if self._bound(item, part) < least:
+                continue
+            share = subsequence(row, part) / len(row)
+            if share > best.get(item, 0.0) and share >= LCS and subsequence(answer, part) >= ANSWER * len(answer):
+                best[item] = share
+        return [(self.items.ids[item], share) for item, share in best.items()]
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> tuple[DataFrame, DataFrame]:
