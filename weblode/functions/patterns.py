@@ -94,3 +94,8 @@ def domains(text: Column) -> Column:
 
 def _matcher(pattern: str) -> Callable[[Column], Column]:
     return lambda w: w.rlike(pattern)
+
+
+def analyse(text: Column) -> Column:
+    """All four sets of a text as one struct: syntax, terms, structured and domains."""
+    return F.struct(syntax(text).alias("syntax"), technical_terms(text).alias("terms"), structured(text).alias("structured"), domains(text).alias("domains"))

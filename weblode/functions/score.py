@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weblode.functions.text import W, any_of, diversity, first_words, sub_tokens, word_count
+from weblode.functions.text import W, any_of, first_words, sub_tokens, with_word_numbers
 
 KEYWORDS = ["data", "license", "state", "the", "tion"]
 ENTITIES = {"org": ["mit", "apache"], "product": ["token"]}
@@ -31,7 +31,8 @@ def _if(condition: Column, value: float) -> Column:
 
 def quick(text: Column, keywords: list[str]) -> Column:
     low = F.lower(text)
-    score = _hits(low, keywords, 0.3) + _if(any_of(low, TECH), 0.2) + _if(word_count(text) > 50, 0.1) + _if(diversity(text, True) > 0.4, 0.1)
+    score = _hits(low, keywords, 0.3) + _if(any_of(low, TECH), 0.2)
+    score = with_word_numbers(text, lambda n, d, base=score: base + _if(n > 50, 0.1) + _if(d / (n + 1) > 0.4, 0.1))
     return F.when(text == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
 
@@ -39,7 +40,7 @@ def content(text: Column, keywords: list[str]) -> Column:
     score = _hits(F.lower(text), keywords, 2.0) / float(len(keywords) + 1)
     for pattern in CODE_LIKE:
         score = score + _if(text.rlike(pattern), 0.2)
-    score = score + _if(word_count(text) > 50, 0.1) + _if(F.coalesce(diversity(text, False), F.lit(0.0)) > 0.4, 0.1)
+    score = with_word_numbers(text, lambda n, d, base=score: base + _if(n > 50, 0.1) + _if(F.coalesce(F.try_divide(d, n.cast("double")), F.lit(0.0)) > 0.4, 0.1))
     return F.when(text == "", F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
 

@@ -50,6 +50,11 @@ def diversity(text: Column, smoothed: bool) -> Column:
     return different / (F.size(w) + 1) if smoothed else F.try_divide(different, F.size(w).cast("double"))
 
 
+def with_word_numbers(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body(number of words, number of different words) of text, which is split once."""
+    return let(let(words(text), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("d"))), lambda s: body(s["n"], s["d"].cast("double")))
+
+
 def first_words(text: Column, n: int = 200) -> Column:
     return F.array_join(F.slice(words(text), 1, n), " ")
 

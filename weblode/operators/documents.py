@@ -24,27 +24,33 @@ def article_chunks(pages: DataFrame, keywords: list[str]) -> DataFrame:
 
     Code is worth 0.2 more, on top of the cap. Pages without an article have none.
     """
-    found = parsed(pages, ("article", "code"))
-    text = found.where("article is not null").select("page_id", "url", F.lit(0).alias("ord"), F.lit("text").alias("type"), clean_code(F.col("article")).alias("content"), F.lit(None).cast("string").alias("language"))
-    code = found.select("page_id", "url", F.posexplode("code").alias("k", "c")).where("c.in_article")
-    code = code.select("page_id", "url", (F.col("k") + 1).alias("ord"), F.lit("code").alias("type"), clean_code(F.col("c.text")).alias("content"), classify.code_language(F.col("c.text"), F.col("c.classes")).alias("language"))
-    both = text.unionByName(code).where("content <> ''")
+    return _article_chunks(parsed(pages, ("article", "code")), keywords)
+
+
+def _article_chunks(found: DataFrame, keywords: list[str]) -> DataFrame:
+    """The chunks of pages parsed to article and code, and what else they were parsed to; one pass, as all parts of a page are one array."""
+    others = [c for c in found.columns if c not in ("page_id", "url", "article", "code")]
+    part = lambda ord_, type_, text, classes: F.struct(F.lit(ord_).cast("int").alias("ord") if isinstance(ord_, int) else ord_.alias("ord"), F.lit(type_).alias("type"), text.alias("text"), classes.alias("classes"))
+    text = F.when(F.col("article").isNotNull(), F.array(part(0, "text", F.col("article"), F.array().cast("array<string>")))).otherwise(F.array())
+    coded = F.transform("code", lambda c, k: F.when(c["in_article"], part((k + 1).cast("int"), "code", c["text"], c["classes"])))
+    parts = F.concat(text, F.filter(F.coalesce(coded, F.array()), lambda c: c.isNotNull()))
+    rows = found.select("page_id", "url", *others, F.explode(parts).alias("p")).select("page_id", "url", *others, "p.ord", "p.type", clean_code(F.col("p.text")).alias("content"), F.when(F.col("p.type") == "code", classify.code_language(F.col("p.text"), F.col("p.classes"))).alias("language"))
     relevance = score.content(F.col("content"), keywords) + F.when(F.col("type") == "code", F.lit(0.2)).otherwise(F.lit(0.0))
-    return both.select("page_id", "url", "ord", "type", "content", content_id(F.col("content")).alias("id"), "language", relevance.alias("relevance"))
+    return rows.where("content <> ''").select("page_id", "url", *others, "ord", "type", "content", content_id(F.col("content")).alias("id"), "language", relevance.alias("relevance"))
 
 
 def rag_documents(pages: DataFrame, keywords: list[str], least: float = 0.3) -> DataFrame:
     """A row a page with chunks over least: title, chunks, their number, types and mean relevance, and the technical ones; best first."""
-    chunks = article_chunks(pages, keywords).where(F.col("relevance") > least)
+    chunks = _article_chunks(parsed(pages, ("article", "code", "title")), keywords).where(F.col("relevance") > least)
     item = F.struct("ord", "id", "type", "content", "language", "relevance")
     docs = chunks.groupBy("page_id", "url").agg(
         F.array_sort(F.collect_list(item)).alias("chunks"),
         F.count(F.lit(1)).alias("chunk_count"),
         F.avg("relevance").alias("average_relevance"),
         F.array_sort(F.collect_set("type")).alias("types"),
+        F.any_value("title").alias("title"),
     )
-    titles = parsed(pages, ("title",))
-    out = docs.join(titles, ["page_id", "url"]).withColumn("technical_content", F.filter("chunks", lambda c: c["type"].isin("code", "table")))
+    out = docs.withColumn("technical_content", F.filter("chunks", lambda c: c["type"].isin("code", "table")))
     return out.orderBy(F.desc("average_relevance"), "url", "page_id")
 
 
@@ -60,7 +66,7 @@ def nodes(pages: DataFrame, main: bool = False, markup: bool = False) -> DataFra
 def content_elements(pages: DataFrame, keywords: list[str]) -> DataFrame:
     """Elements out of navigation with at least 100 signs and a relevance over 0.2, of the text as it is."""
     out = nodes(pages).where("not navigation and length(text) >= 100")
-    return out.withColumn("relevance", score.content(F.col("text"), keywords)).where("relevance > 0.2D")
+    return at_least(out, "relevance", score.content(F.col("text"), keywords), 0.2)
 
 
 def element_chunks(pages: DataFrame, keywords: list[str]) -> DataFrame:
@@ -93,12 +99,18 @@ def content_chunks(pages: DataFrame, keywords: list[str]) -> DataFrame:
     return text.unionByName(code).unionByName(tables)
 
 
+def at_least(rows: DataFrame, name: str, value: Column, least: float, always: Column | None = None) -> DataFrame:
+    """rows with the column name = value where it is over least, or where `always` holds. As an array of one that is filtered, the value is computed once; a filter on a column would compute it again."""
+    fits = lambda v: (v > least) if always is None else always | (v > least)
+    return rows.select("*", F.explode(F.filter(F.array(value), fits)).alias(name))
+
+
 # the parse of a page
 
 def sections(pages: DataFrame, keywords: list[str]) -> DataFrame:
     """Elements of the main part with at least ten words and a quick score over 0.2. Text of nested elements is scanned again at each level."""
     out = nodes(pages, main=True).where(word_count(F.col("text")) >= 10)
-    return out.withColumn("quick_score", score.quick(F.col("text"), keywords)).where("quick_score > 0.2D")
+    return at_least(out, "quick_score", score.quick(F.col("text"), keywords), 0.2)
 
 
 def top_sections(pages: DataFrame, keywords: list[str], many: int = 50) -> DataFrame:
@@ -108,30 +120,47 @@ def top_sections(pages: DataFrame, keywords: list[str], many: int = 50) -> DataF
 
 
 def relevant_sections(pages: DataFrame, q: Query, counter: Callable[[Column], Column] = sub_tokens) -> DataFrame:
-    return top_sections(pages, q.keywords).withColumn("score", score.semantic(F.col("text"), q.keywords, q.entities, counter)).where("score > 0.3D")
+    return at_least(top_sections(pages, q.keywords), "score", score.semantic(F.col("text"), q.keywords, q.entities, counter), 0.3)
 
 
 def section_chunks(found: DataFrame, keywords: list[str], budget: int = 1000) -> DataFrame:
     """sections (page_id, url, rank, tag, text, attributes, score) as chunks with labels."""
-    out = found.select("page_id", "url", "rank", "tag", "attributes", "score", F.posexplode(semantic_chunks(F.col("text"), budget)).alias("part", "content"))
+    return _chunked(found, keywords, budget).select("page_id", "url", "rank", "part", *CHUNK)
+
+
+CHUNK = ("content", "chunk_type", "tag", "score", "word_count", "chunk_id", "metadata")
+
+
+def _chunked(found: DataFrame, keywords: list[str], budget: int, others: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, url, rank, part, the columns of a chunk, others): the chunks of each section; nulls for a row without text."""
+    pieces = F.when(F.col("text").isNull(), F.array(F.lit(None).cast("string"))).otherwise(semantic_chunks(F.col("text"), budget))
+    out = found.select("page_id", "url", "rank", "tag", "attributes", "score", *others, F.posexplode(pieces).alias("part", "content"))
     c = F.col("content")
+    there = lambda v: F.when(c.isNotNull(), v)
     meta = F.struct(F.col("tag").alias("source_tag"), classify.keywords_found(c, keywords).alias("keywords_found"), "attributes", classify.indicators(c).alias("technical_indicators"))
-    return out.select("page_id", "url", "rank", "part", "content", classify.chunk_type(c).alias("chunk_type"), "tag", "score", word_count(c).alias("word_count"), content_id(c).alias("chunk_id"), meta.alias("metadata"))
+    return out.select("page_id", "url", "rank", "part", "content", there(classify.chunk_type(c)).alias("chunk_type"), "tag", "score", there(word_count(c)).alias("word_count"), content_id(c).alias("chunk_id"), there(meta).alias("metadata"), *others)
 
 
 def parsed_documents(pages: DataFrame, q: Query, budget: int = 1000, counter: Callable[[Column], Column] = sub_tokens) -> DataFrame:
     """A row a page: metadata, chunks in order of their sections, their number, mean score, kinds and concepts. Pages without chunks have score 0."""
-    chunks = section_chunks(relevant_sections(pages, q, counter), q.keywords, budget)
-    grouped = chunks.groupBy("page_id", "url").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "part", F.struct("content", "chunk_type", "tag", "score", "word_count", "chunk_id", "metadata").alias("chunk"))), _by_place).alias("chunks"),
+    # one parse a page: the head of a page is a row before its sections, and stays when they are filtered
+    found = parsed(pages, ("title", "meta", "error", "main_nodes"))
+    rows = found.select("page_id", "url", F.struct("title", "meta", "error").alias("head"), F.explode(F.concat(F.array(F.lit(None)), F.coalesce("main_nodes", F.array()))).alias("n"))
+    rows = rows.select("page_id", "url", F.when(F.col("n").isNull(), F.col("head")).alias("head"), F.col("n.node_id"), F.col("n.tag"), F.col("n.text"), F.col("n.attributes"))
+    text = F.col("text")
+    is_head = F.col("head").isNotNull()
+    rows = at_least(rows.where(is_head | (word_count(text) >= 10)), "quick_score", F.when(~is_head, score.quick(text, q.keywords)), 0.2, is_head)
+    rank = F.row_number().over(Window.partitionBy("page_id", "url").orderBy(is_head, F.desc("quick_score"), "node_id"))
+    rows = at_least(rows.withColumn("rank", rank).where(is_head | (F.col("rank") <= 50)), "score", F.when(~is_head, score.semantic(text, q.keywords, q.entities, counter)), 0.3, is_head)
+    chunks = _chunked(rows, q.keywords, budget, ("head",))
+    out = chunks.groupBy("page_id", "url").agg(
+        F.array_sort(F.collect_list(F.when(F.col("content").isNotNull(), F.struct("rank", "part", F.struct(*CHUNK).alias("chunk")))), _by_place).alias("chunks"),
         F.avg("score").alias("relevance_score"),
-        F.count(F.lit(1)).cast("int").alias("chunk_count"),
+        F.count("content").cast("int").alias("chunk_count"),
         F.array_sort(F.collect_set("chunk_type")).alias("content_types"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("metadata.technical_indicators")))).alias("technical_concepts"),
-    )
-    head = parsed(pages, ("title", "meta", "error"))
+        F.any_value("head", True).alias("head"),
+    ).select("*", "head.*").withColumn("technical_concepts", F.array_sort(F.array_distinct(F.flatten(F.transform("chunks", lambda c: c["chunk"]["metadata"]["technical_indicators"])))))
     none = F.array().cast("array<string>")
-    out = head.join(grouped, ["page_id", "url"], "left")
     meta = F.struct(
         "url", "title", F.lit("web").alias("source_type"), F.unix_timestamp().cast("double").alias("crawl_time"), F.array(*map(F.lit, q.keywords)).cast("array<string>").alias("query_keywords"),
         F.col("meta")["description"].alias("description"), F.col("meta")["keywords"].alias("meta_keywords"), F.col("meta")["author"].alias("author"), F.col("meta")["date"].alias("date"), F.col("meta")["published"].alias("published"), "error",

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weblode.functions import score
-from weblode.functions.text import first_words, words
+from weblode.functions.text import char_windows, first_words, words
+
+#: A model of token labels: texts of a batch to a list of (token, label) each. It is called on the executors, batch by batch.
+Model = Callable[[list[str]], list[list[tuple[str, str]]]]
 
 
 def vote(a: Column, b: Column, c: Column) -> Column:
@@ -15,6 +21,26 @@ def vote(a: Column, b: Column, c: Column) -> Column:
     return F.when((a == b) | (a == c), a).when(b == c, b).otherwise(a)
 
 
+def labelled(docs: DataFrame, models: tuple[Model, Model, Model], slice_chars: int = 512, key: str = "doc_id") -> DataFrame:
+    """(key, pos, token, label) of docs (key, text): every slice of slice_chars goes to three models, whose labels are put side by side and voted on.
+
+    Tokens are the first model's; a slice has as many as the model with the fewest. Null or empty text: no tokens.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    cut = docs.select(key, F.posexplode(char_windows(F.col("text"), slice_chars)).alias("slice", "part"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, part, *found in zip(f[key], f["slice"], *(m(f["part"].tolist()) for m in models), strict=True):
+                out += [(k, part, n, a[0], a[1], b[1], c[1]) for n, (a, b, c) in enumerate(zip(*found, strict=False))]
+            yield pd.DataFrame(out, columns=[key, "slice", "n", "token", "a", "b", "c"])
+
+    each = cut.mapInPandas(run, f"`{key}` {kind}, slice int, n int, token string, a string, b string, c string")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("slice", "n")) - 1
+    return each.select(key, place.alias("pos"), "token", vote(F.col("a"), F.col("b"), F.col("c")).alias("label"))
+
+
 def spans(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, type, entity) of tokens (key, pos, token, label): B- opens a span, I- goes on with it whatever its type, anything else ends it.
 

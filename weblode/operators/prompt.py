@@ -1,7 +1,7 @@
 """Instructions to queries: keywords, entities, expansion.
 
-Stands in for a tagger and entity recogniser that aren't available offline, and says so: words outside a stop list are keywords, with plain plural and
--ing endings cut; runs of capitalised words are entities of type name. Results are sorted. Any function of the same shape can replace either.
+Stands in for a tagger and entity recogniser that aren't available offline, and says so: words outside a stop list are keywords, as
+they are written; runs of capitalised words are entities of type name. Results are sorted. Any function of the same shape can replace either.
 """
 
 from __future__ import annotations

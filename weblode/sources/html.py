@@ -201,14 +201,18 @@ def _nodes(page: Page, root: Node, markup: bool = False) -> list[dict]:
     Their own markup only where it is asked for: nested elements repeat it at every level.
     """
     out, number, stack = [], {}, [(root, -1, 0)]
+    # an element has code if a child is code or has some: children come after their parents in the order of the markup
+    coded = set()
+    for n in reversed(list(root.walk())):
+        if n.parent and (n.tag in ("pre", "code") or id(n) in coded):
+            coded.add(id(n.parent))
     while stack:
         n, parent, depth = stack.pop()
         text = page.text(n)
         if not text and n is not root:
             continue
         number[id(n)] = len(out)
-        code = any(x.tag in ("pre", "code") for x in n.walk() if x is not n)
-        out.append({"node_id": len(out), "parent_id": parent, "depth": depth, "tag": n.tag, "attributes": list(n.attrs.items()), "classes": n.classes, "text": text, "html": page.html(n) if markup else None, "navigation": n.navigation, "has_code": code})
+        out.append({"node_id": len(out), "parent_id": parent, "depth": depth, "tag": n.tag, "attributes": list(n.attrs.items()), "classes": n.classes, "text": text, "html": page.html(n) if markup else None, "navigation": n.navigation, "has_code": id(n) in coded})
         stack.extend((c, number[id(n)], depth + 1) for c in reversed(n.children) if isinstance(c, Node))
     return out
 
