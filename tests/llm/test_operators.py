@@ -455,6 +455,24 @@ def test_lines(spark):
     assert len(out) == sum(len(t.split("\n")) for _, t in rows if t)
 
 
+def test_lines_recall_near_the_threshold(spark):
+    """Pairs of lines at 0.80 to 0.85, made by changing letters here and there."""
+    rng, rows, want = random.Random(31), [], 0
+    letters, shingles = "abcdefghijklmnopqrstuvwxyz ", lambda t: {t[k : k + lines.SHINGLE] for k in range(max(1, len(t) - lines.SHINGLE + 1))}
+    while want < 250:
+        base = "".join(rng.choice(letters) for _ in range(rng.randint(30, 400)))
+        near = list(base)
+        for at in rng.sample(range(len(near)), max(1, len(near) // 45)):
+            near[at] = rng.choice(letters)
+        near = "".join(near)
+        x, y = shingles(base), shingles(near)
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            rows += [(2 * want, base), (2 * want + 1, near)]
+            want += 1
+    out = {r["doc_id"]: r["first_doc"] for r in lines.line_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(out[2 * k + 1] == 2 * k for k in range(want)) >= 0.99 * want
+
+
 def test_lines_links_short_near_copies(spark):
     base = "The quick brown fox jumps over the lazy dog near the old stone bridge at dawn, 1234 people saw it."
     near = [base.replace("quick", "quack"), base.replace("1234", "1235"), base.replace("stone", "brick")]
