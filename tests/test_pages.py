@@ -210,3 +210,36 @@ def test_crawl_query_has_the_whole_budget(spark, monkeypatch):
     monkeypatch.setattr(crawl, "best_first", watched)
     registry.queries()["crawl_best_first"](spark, "/root/testdata/sf0.001")
     assert asked.get("max_depth", 3) == 3 and asked.get("max_pages", 20) == 20
+
+
+def test_label_models_vote_on_slices(spark):
+    from weblode.operators import labels
+
+    def model(shift):
+        return lambda texts: [[(w, ("B-X", "I-X", "O")[(len(w) + shift * (k % 2)) % 3]) for k, w in enumerate(t.split())] for t in texts]
+
+    docs = spark.createDataFrame([(1, "one three five"), (2, None), (3, ""), (4, "ab " * 300)], "doc_id long, text string")
+    out = labels.labelled(docs, (model(0), model(0), model(1))).collect()
+    assert [(r["pos"], r["token"], r["label"]) for r in sorted(out, key=lambda r: r["pos"]) if r["doc_id"] == 1] == [(0, "one", "B-X"), (1, "three", "O"), (2, "five", "I-X")]
+    assert {r["doc_id"] for r in out} == {1, 4} and sorted(r["pos"] for r in out if r["doc_id"] == 4) == list(range(len([r for r in out if r["doc_id"] == 4])))
+    assert labels.spans(spark.createDataFrame(out)).where("doc_id = 1").count() == 1
+
+
+def test_analyse_gives_the_four_sets(spark):
+    from weblode.functions import patterns
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([("class Foo extends Bar { render() } uses a REST api with state-of-the-art components",), ("",)], "text string")
+    for r in docs.select(patterns.analyse(F.col("text")).alias("a"), patterns.syntax(F.col("text")).alias("s"), patterns.technical_terms(F.col("text")).alias("t"), patterns.structured(F.col("text")).alias("u"), patterns.domains(F.col("text")).alias("d")).collect():
+        assert tuple(r["a"]) == (r["s"], r["t"], r["u"], r["d"])
+
+
+def test_has_code_and_chunks_of_a_fixture_page():
+    from weblode.sources.html import parse
+
+    page = "<html><head><title>T</title><meta name='description' content='about'></head><body><nav class='menu'>go</nav><article><p>text</p><div><pre><code class='language-python'>import x</code></pre></div></article><table><tr><th>h</th></tr><tr><td>c</td></tr></table></body></html>"
+    found = parse(page, ("title", "meta", "nodes", "code", "tables"))
+    has = {n["tag"]: n["has_code"] for n in found["nodes"]}
+    assert has["article"] and has["div"] and has["pre"] and has["body"] and not has["code"] and not has["p"] and not has["table"]
+    assert found["title"] == "T" and found["meta"] == [("description", "about")] and [c["in_article"] for c in found["code"]] == [True, True] and found["tables"][0]["headers"] == ["h"]
+    assert [n["tag"] for n in found["nodes"] if n["navigation"]] == ["nav"]
