@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -289,6 +290,50 @@ def brute_lcs(a, b):
     return table[-1]
 
 
+def test_decontaminate_takes_small_arrow_batches(spark, monkeypatch):
+    """What a worker holds of the texts must not follow the number of rows: an executor's memory was overrun by batches of 10,000 rows."""
+    seen, tokens = [], decontaminate.tokens
+
+    def watched(docs, items):
+        sizes = docs.mapInArrow(lambda frames: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in frames), "n long")
+        seen.extend(r["n"] for r in sizes.collect())
+        return tokens(docs, items)
+
+    monkeypatch.setattr(decontaminate, "tokens", watched)
+    docs = spark.range(12000).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 200) as text")
+    kept, found = decontaminate.leaks(spark, docs.coalesce(1), spark.createDataFrame([(1, "some few words of an item")], "item_id long, text string"))
+    assert kept.count() == 12000 and found.count() == 0
+    assert max(seen) <= 2 * decontaminate.BATCH < sum(seen)
+
+
+def test_decontaminate_searches_documents_at_once_as_one_by_one():
+    """Documents side by side are held against brute force over each alone, with items that repeat words and reach over the ends."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, n)) for n in (3, 7, 10, 14, 30, 45)] + ["again again again w1 again w2"]
+    items = decontaminate.Items(list(range(len(texts))), texts)
+    search = decontaminate.Search(items, np.concatenate([[0.0], np.ones(items.many - 1)]), np.random.default_rng(6).standard_normal((items.many, 64)))
+    search.least = -1.0  # every window is near every piece
+    docs = []
+    for k in range(80):
+        row = items.rows[k % len(texts)].copy()
+        row[rng.random(len(row)) < 0.3] = 0
+        docs.append(np.concatenate([rng.integers(0, items.many, rng.integers(0, 20)), row, rng.integers(0, items.many, rng.integers(0, 20))]) if k % 9 else row[:0])
+    at = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    together = search(np.concatenate(docs).astype(np.int32), at)
+    alone = [(r, i, x) for r, ids in enumerate(docs) for _, i, x in search(ids.astype(np.int32), np.array([0, len(ids)]))]
+    assert sorted(together) == sorted(alone)
+    want = set()
+    for r, ids in enumerate(docs):
+        for item, row in enumerate(items.rows):
+            slack = int(search.slack[item])
+            starts = {s - int(o) for size, pieces in search.classes for o in search.offsets[pieces[search.of[pieces] == item]] for s in range(0, max(1, len(ids) - size + decontaminate._step(size)), decontaminate._step(size)) if ids[s : s + size].any()}
+            for begin in starts:
+                part = ids[max(0, begin - slack) : max(0, begin + len(row) + slack)]
+                if brute_lcs(row.tolist(), part.tolist()) >= 0.6 * len(row) and brute_lcs(items.answers[item].tolist(), part.tolist()) >= 0.5 * len(items.answers[item]):
+                    want.add((r, item))
+    assert {(r, i) for r, i, _ in together} == want and len(want) > 30
+
+
 def test_subsequence():
     rng = np.random.default_rng(4)
     for _ in range(50):

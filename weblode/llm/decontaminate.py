@@ -21,6 +21,7 @@ each row has its result. Empty tables: no rows, or all clean. Other columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblode.llm.anchors import word_hashes
-from weblode.llm.common import Scratch, batches, numbered, table, utf8
+from weblode.llm.common import Scratch, arrow_batches, batches, numbered, table, utf8
 
 PASSAGE, WINDOW, STEP, RANK = 48, 12, 4, 64
 STOP, LCS, ANSWER = 0.5, 0.6, 0.5
 BLOCK_ITEMS = 4096
+EVERY_STEP = math.lcm(*range(1, STEP + 1))
+#: Bytes of an Arrow batch: a worker holds several arrays of a batch's words at once.
+BATCH = 4 << 20
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -219,10 +223,13 @@ class Search:
         self.rows = (space * weight[:, None]).astype(np.float32)
         self.queries = self._unit(np.stack([self.rows[p].sum(axis=0) for _, p in items.pieces]))
         self.of = np.array(items.of)
-        self.sets = np.zeros((len(items.ids), items.many), bool)
+        # how often an item has a word; 255 stands for any number from there on
+        self.counts = np.zeros((len(items.ids), items.many), np.uint8)
         for k, row in enumerate(items.rows):
-            self.sets[k, row] = True
-        self.sets[:, 0] = False
+            own, times = np.unique(row, return_counts=True)
+            self.counts[k, own] = np.minimum(times, 255)
+        self.counts[:, 0] = 0
+        self.has = np.ascontiguousarray(self.counts.T > 0).view(np.uint8)
         self.lengths = np.array([len(row) for row in items.rows])
         self.slack = np.maximum(STEP, self.lengths // 4)
         sizes = np.array([len(piece) for _, piece in items.pieces])
@@ -268,57 +275,91 @@ class Search:
             out += self.rows[part[(k + runs) * step + j]]
         return out
 
-    def _may_reach(self, ids: np.ndarray, begins: np.ndarray, of: np.ndarray, best: dict[int, set[int]]) -> None:
-        """Add to best, by item, where those items begin whose stretch has enough of their words to reach LCS."""
-        low = np.clip(begins - self.slack[of], 0, len(ids))
-        high = np.clip(begins + self.lengths[of] + self.slack[of], 0, len(ids))
-        first = int(low.min())
-        part = ids[first : int(high.max())]
-        order = np.argsort(of, kind="stable")
-        begins, of, low, high = begins[order], of[order], low[order] - first, high[order] - first
-        items, at = np.unique(of, return_index=True)
-        at = np.append(at, len(of))
-        group = max(1, (1 << 21) // max(1, len(part)))
-        for g in range(0, len(items), group):
-            some = items[g : g + group]
-            count = np.zeros((len(some), len(part) + 1), np.int32)
-            np.cumsum(self.sets[some[:, None], part], axis=1, out=count[:, 1:])
-            x, y = at[g], at[min(g + group, len(items))]
-            row = np.searchsorted(some, of[x:y])
-            able = np.flatnonzero((count[row, high[x:y]] - count[row, low[x:y]]) / self.lengths[of[x:y]] >= LCS) + x
-            for item, begin in zip(of[able].tolist(), begins[able].tolist(), strict=True):
-                best.setdefault(item, set()).add(begin)
-
-    def __call__(self, ids: np.ndarray) -> list[tuple[int, float]]:
-        """Items in one document, as (item_id, share of the longest common subsequence); ids: its word numbers."""
-        n = len(ids)
-        if not n:
-            return []
-        heavy = np.concatenate([[0], np.cumsum(self.heavy[ids])])
-        best: dict[int, set[int]] = {}
+    def _hits(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """At least as many words of ids[low:high] as are words of the item `of`: those of the runs of STEP words that the stretch touches."""
+        first, last = int(low.min()) // STEP, -(-int(high.max()) // STEP)
+        if (last - first) * STEP * len(self.items.ids) > 1 << 24:
+            return high - low
+        part = np.zeros((last - first) * STEP, ids.dtype)
+        there = ids[first * STEP : last * STEP]
+        part[: len(there)] = there
+        each = self.has[part[::STEP]]
+        for j in range(1, STEP):
+            each += self.has[part[j::STEP]]
+        upto = np.zeros((last - first + 1, len(self.items.ids)), np.int32)
+        np.cumsum(each, axis=0, out=upto[1:])
+        return upto[-(-high // STEP) - first, of] - upto[low // STEP - first, of]
+
+    def _may_reach(self, ids: np.ndarray, low: np.ndarray, high: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Which of the items `of` have enough of their words in ids[low:high] to reach LCS there, each word as often as the item has it."""
+        out = np.zeros(len(of), bool)
+        sizes = high - low
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(of):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + (1 << 20), "right")))
+            size, item = sizes[at:to], of[at:to]
+            which = np.repeat(np.arange(to - at), size)
+            word = ids[np.arange(len(which)) + np.repeat(low[at:to] - np.cumsum(size) + size, size)]
+            inside = self.counts[item[which], word] > 0
+            which, word = which[inside], word[inside]
+            enough = np.bincount(which, minlength=to - at) / self.lengths[item] >= LCS
+            some = enough[which]
+            key = np.sort(which[some] * self.items.many + word[some])
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            which, word = np.divmod(key[edge], self.items.many)
+            there, own = np.diff(np.append(edge, len(key))), self.counts[item[which], word]
+            shared = np.bincount(which, np.where(own == 255, there, np.minimum(there, own)), to - at)
+            out[at:to] = enough & (shared / self.lengths[item] >= LCS)
+            at = to
+        return out
+
+    def _places(self, laid: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(row, item, begin) of the stretches to be checked in documents of those lengths that are laid out from those places on, with zeros between."""
+        heavy = np.concatenate([[0], np.cumsum(self.heavy[laid])])
+        longest = int(self.lengths.max())
+        wide, every, found = longest + int(lengths.max(initial=0)) + 1, len(self.items.ids), []
         for size, pieces in self.classes:
             step, queries = _step(size), self.queries[pieces].T
-            starts = np.arange(0, max(1, n - size + step), step)
-            starts = starts[heavy[np.minimum(starts + size, n)] > heavy[starts]]
-            many = max(1, (1 << 21) // len(pieces))
+            count = -(-np.maximum(1, lengths - size + step) // step)
+            starts = np.repeat(places, count) + step * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            starts = starts[heavy[starts + size] > heavy[starts]]
+            many = max(1, (1 << 18) // len(pieces))
             for k in range(0, len(starts), many):
                 some = starts[k : k + many]
-                near = np.flatnonzero(self._unit(self._sums(ids, some, size, step)) @ queries >= self.least)
+                near = np.flatnonzero(self._unit(self._sums(laid, some, size, step)) @ queries >= self.least)
                 if len(near):
                     w, q = np.divmod(near, len(pieces))
-                    self._may_reach(ids, some[w] - self.offsets[pieces[q]], self.of[pieces[q]], best)
-        out = []
-        for item, begins in best.items():
-            row, answer, most = self.items.rows[item], self.items.answers[item], 0.0
-            slack = int(self.slack[item])
-            for begin in sorted(begins):
-                part = ids[max(0, begin - slack) : max(0, begin + len(row) + slack)]
-                share = subsequence(row, part) / len(row)
-                if share > most and share >= LCS and subsequence(answer, part) >= ANSWER * len(answer):
-                    most = share
-            if most:
-                out.append((self.items.ids[item], most))
-        return out
+                    of, row = self.of[pieces][q], np.searchsorted(places, some, "right")[w] - 1
+                    begin, from_ = some[w] - self.offsets[pieces][q], places[row]
+                    low = np.maximum(begin - self.slack[of], from_)
+                    high = np.clip(begin + self.lengths[of] + self.slack[of], from_, from_ + lengths[row])
+                    able = np.flatnonzero(self._hits(laid, low, high, of) >= LCS * self.lengths[of] - 0.5)
+                    _, first = np.unique((row[able] * every + of[able]) * wide + begin[able] - from_[able] + longest, return_index=True)
+                    able = able[first]
+                    able = able[self._may_reach(laid, low[able], high[able], of[able])]
+                    found.append((row[able] * every + of[able]) * wide + begin[able] - from_[able] + longest)
+        key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return np.stack([key // wide // every, key // wide % every, key % wide - longest], axis=1)
+
+    def __call__(self, ids: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
+        """Items in documents, as (row, item_id, share of the longest common subsequence); ids[at[r] : at[r + 1]] are the word numbers of row r."""
+        if len(at) < 2 or not self.items.ids:
+            return []
+        # all documents are searched at once: each begins at a multiple of every step, and the zeros after it are as many as a window can reach past its end
+        lengths = np.diff(at)
+        room = -(-(lengths + WINDOW + 2 * STEP) // EVERY_STEP) * EVERY_STEP
+        places = np.cumsum(room) - room
+        laid = np.zeros(int(room.sum()), ids.dtype)
+        laid[np.arange(len(ids)) + np.repeat(places - at[:-1], lengths)] = ids
+        best: dict[tuple[int, int], float] = {}
+        for row, item, begin in self._places(laid, places, lengths).tolist():
+            own, answer, most, slack = self.items.rows[item], self.items.answers[item], best.get((row, item), 0.0), int(self.slack[item])
+            part = ids[at[row] + max(0, begin - slack) : at[row] + min(max(0, begin + len(own) + slack), int(lengths[row]))]
+            share = subsequence(own, part) / len(own)
+            if share > most and share >= LCS and subsequence(answer, part) >= ANSWER * len(answer):
+                best[row, item] = share
+        return [(row, self.items.ids[item], share) for (row, item), share in best.items()]
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int = BLOCK_ITEMS) -> tuple[DataFrame, DataFrame]:
@@ -328,27 +369,29 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block: int
     cast = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     places = cast.orderBy("item_id", "text")
     count, found = cast.count(), []
-    for k in range(0, count, block):
-        some = places.offset(k).limit(block).collect()  # a block of the stated query set
-        items = Items([r["item_id"] for r in some], [r["text"] for r in some])
-        if not items.ids:
-            continue
-        stored = scratch.store(tokens(rows.select("rid", F.col("doc.text").alias("text")), items), f"tokens{k}")
-        n = frequencies(stored, items.many)
-        share = n[:-1] / max(1, n[-1])
-        weight = np.where(share > STOP, 0.0, np.log((n[-1] + 1) / (n[:-1] + 0.5)))
-        weight[0] = 0.0
-        search = Search(items, weight, latent(stored, items, weight))
-
-        def run(frames: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
-            for b in frames:
-                every, at = _flat(b.column(1))
-                out = [(rid, item, share) for r, rid in enumerate(b.column(0).to_pylist()) for item, share in search(every[at[r] : at[r + 1]])]
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["rid", "item_id", "share"])
-
-        found.append(scratch.store(stored.select("rid", "ids").mapInArrow(run, "rid long, item_id long, share double"), f"found{k}"))
-        scratch.drop(f"tokens{k}")
+    with arrow_batches(spark, BATCH):
+        for k in range(0, count, block):
+            some = places.offset(k).limit(block).collect()  # a block of the stated query set
+            items = Items([r["item_id"] for r in some], [r["text"] for r in some])
+            if not items.ids:
+                continue
+            stored = scratch.store(tokens(rows.select("rid", F.col("doc.text").alias("text")), items), f"tokens{k}")
+            n = frequencies(stored, items.many)
+            share = n[:-1] / max(1, n[-1])
+            weight = np.where(share > STOP, 0.0, np.log((n[-1] + 1) / (n[:-1] + 0.5)))
+            weight[0] = 0.0
+            search = Search(items, weight, latent(stored, items, weight))
+
+            def run(frames: Iterator[pa.RecordBatch], search: Search = search) -> Iterator[pa.RecordBatch]:
+                for b in frames:
+                    every, at = _flat(b.column(1))
+                    rids = b.column(0).to_numpy()
+                    out = [(int(rids[r]), item, share) for r, item, share in search(every, at)]
+                    columns = list(zip(*out, strict=True)) or [(), (), ()]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["rid", "item_id", "share"])
+
+            found.append(scratch.store(stored.select("rid", "ids").mapInArrow(run, "rid long, item_id long, share double"), f"found{k}"))
+            scratch.drop(f"tokens{k}")
     if not found:
         return rows, rows.sparkSession.createDataFrame([], "rid long, item_id long, share double")
     every = found[0]
