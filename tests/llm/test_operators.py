@@ -527,6 +527,45 @@ def test_lines_links_short_near_copies(spark):
     assert {r["doc_id"]: r["first_doc"] for r in out} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6}
 
 
+def test_lines_reads_few_texts_of_pairs_that_are_not_alike(spark, monkeypatch):
+    """Lines of one pattern with other words changed meet in buckets; bitmaps tell nearly all their pairs apart, and lose none that is alike."""
+    rng, verified, read = random.Random(41), lines.verified, []
+    base = prose(rng, 60).split()
+    rows = []
+    for k in range(40):
+        words = [word(rng) if rng.random() < 0.2 else w for w in base]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words) + "x"))
+
+    def counted(scratch, pairs, *rest):
+        read.extend((min(p), max(p)) for p in pairs.collect())
+        return verified(scratch, pairs, *rest)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    out = lines.line_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    at, first = brute_lines(rows)
+    assert {r["doc_id"]: r["first_doc"] for r in out} == {a[0]: first[a][0] for a in at}
+    assert len(read) <= 4 * len(rows)
+
+
+def test_bitmaps_pass_over_no_pair_that_is_alike(spark):
+    rng, texts = random.Random(43), []
+    for n in [0, 1, 4, 5, 6, 15, 16, 17, 60, 200, 400, 900, 3000]:
+        base = "".join(rng.choice("abcdeé𝄞 ") for _ in range(n))
+        for edits in (0, 1, n // 45, n // 30, n // 8):
+            near = list(base)
+            for place in rng.sample(range(n), min(n, edits)):
+                near[place] = rng.choice("xyz")
+            texts.append("".join(near))
+    units = [[t.encode("utf-16-be")[k : k + 2] for k in range(0, len(t.encode("utf-16-be")), 2)] for t in texts]
+    sets = [{b"".join(u[k : k + lines.SHINGLE]) for k in range(max(1, len(u) - lines.SHINGLE + 1))} for u in units]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    sketches = lines.sketched(spark.createDataFrame(list(enumerate(texts)), "lid long, line string"), lines.SHINGLE)
+    kept = {tuple(r) for r in lines.fitting(spark.createDataFrame(pairs, "a long, b long"), sketches, 0.8).collect()}
+    alike = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike <= kept and len(alike) > 20 and len(kept) < len(pairs) / 2
+
+
 def test_mixing(spark, docs, rows):
     slim = mixing.sized(docs)
     out = mixing.mixed(spark, slim).collect()
