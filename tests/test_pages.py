@@ -40,6 +40,18 @@ def test_main_text(markup, main):
     assert parse(markup)["main_text"] == main
 
 
+@pytest.mark.parametrize(("markup", "text"), [("a&amp;&amp", "a&&amp"), ("&copyx &notit; &am", "&copyx &notit; &am"), ("&#38; &#x26; &#38", "& & &#38"), ("&&lt;&", "&<&"), ("\ufdd0&copy", "\ufdd0&copy")])
+def test_references_end_with_a_semicolon(markup, text):
+    out = parse(f"<title>{markup}</title><article>{markup}</article>", "title", "article_text", "main_text", "article")
+    assert out == dict.fromkeys(out, text)
+
+
+def test_references_in_attributes_and_scripts():
+    (a,) = html.parse("<a href='/x?a=1&copy&amp;b&lt'>&amp</a>", ("anchors",))["anchors"]
+    assert a["href"] == "/x?a=1&copy&b&lt" and a["text"] == "&amp"
+    assert html.parse("<script>a && b &amp; c</script>", ("nodes",))["nodes"][1]["text"] == "a && b &amp; c"
+
+
 def test_title_meta_and_boilerplate():
     out = parse("<title></title><h1> H </h1><meta NAME='Author' content='A'><meta name=author content=B><meta name=date><meta property=og:x content=y>")
     assert out["title"] == "H" and dict(out["meta"]) == {"author": "B", "date": ""}
