@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weblode.client import WebClient
 from weblode.functions import chunk, classify, patterns, score, text
 from weblode.operators import crawl, documents, labels, links, prompt
+from weblode.plans import registry
 from weblode.sources import html, pages, sinks
 from weblode.streaming import pages as stream
 
@@ -255,3 +256,55 @@ def test_has_code_and_chunks_of_a_fixture_page():
     assert has["article"] and has["div"] and has["pre"] and has["body"] and not has["code"] and not has["p"] and not has["table"]
     assert found["title"] == "T" and found["meta"] == [("description", "about")] and [c["in_article"] for c in found["code"]] == [True, True] and found["tables"][0]["headers"] == ["h"]
     assert [n["tag"] for n in found["nodes"] if n["navigation"]] == ["nav"]
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dear_values_are_computed_once(spark):
+    rows = spark.createDataFrame([(1, "u", "<article>alpha() data</article>", "alpha")], "page_id int, url string, html string, text string")
+    for df in (documents.element_chunks(rows, KEYWORDS), documents.rag_documents(rows, KEYWORDS), documents.article_chunks(rows, KEYWORDS)):
+        assert planned(df).count("cookie policy") == 1
+    for column in (score.quick, score.content, lambda t, k: score.semantic(t, k, {"a": ["x", "y"]}), lambda t, k: classify.chunk_type(t), lambda t, k: classify.indicators(t), classify.labels):
+        assert planned(rows.select(column(F.col("text"), KEYWORDS).alias("v"))).count("lower(") == 1
+
+
+def test_pattern_stats_searches_texts_once(spark, tmp_path):
+    spark.createDataFrame([(1, "try @x"), (2, "try")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.queries()["pattern_stats"](spark, str(tmp_path))
+    assert planned(df).count("try|catch") == 1
+    assert [tuple(r) for r in df.collect()] == [("error_handling", 2, 2), ("decorator_annotation", 1, 2)]
+
+
+def test_signs_pass_over_no_match(spark):
+    pieces = "f(a) {|f ( )|Class X|INTERFACE|import a;|IMPORT {a} from|Require\n|let x = 'v'|>|</a>|<a>b</a>|a: b;|SELECT x FROM t|@d|aWait|Try|[x]|\"k\":|k=\"v\"|12px|3.5EM|7%x|5rem|www.a|http://a|{ w :|const f=|K=|İ|SELİECT|_|insert\tinto|update|function f(x)|\n".split("|")
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(pieces, k=rng.randint(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    low = F.lower(t)
+    tests = [("(?im)" + p, patterns.SIGNS[n]) for n, p in patterns.SYNTAX.items()] + [("(?m)" + p, patterns.SIGNS[n]) for n, p in patterns.STRUCTURED.items()]
+    tests += [("(?i)" + p, s) for (_, p), s in zip(classify.KINDS, classify.KIND_SIGNS, strict=True)] + list(zip(score.CODE_LIKE, score.CODE_SIGNS, strict=True))
+    found = df.agg(*[F.struct(F.sum(t.rlike(p).cast("int")), F.sum((t.rlike(p) & ~text.holding(low, s)).cast("int"))) for p, s in tests]).first()
+    assert [p for (p, _), (n, missed) in zip(tests, found, strict=True) if not n or missed] == []
+
+
+def test_word_bounds_stop_splitting_but_count_the_same(spark):
+    texts = ["", " ", "a", " a b ", "a b c", "\ta\n b\x0bc d ", "a b c d e f"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = df.select(text.has_words(F.col("t"), 3), text.first_words(F.col("t"), 2), text.word_count(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(len(t.split()) >= 3, " ".join(t.split()[:2]), len(t.split())) for t in texts]
+
+
+def test_crawl_reads_pages_few_times(spark, site_pages):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            read.add(len(f))
+            yield f
+
+    many = site_pages.count()
+    crawl.best_first(site_pages.mapInPandas(counted, site_pages.schema), spark.createDataFrame([("http://a.com/",)], "seed string"), KEYWORDS).count()
+    assert many <= read.value <= 2 * many
