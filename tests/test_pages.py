@@ -308,3 +308,13 @@ def test_crawl_reads_pages_few_times(spark, site_pages):
     many = site_pages.count()
     crawl.best_first(site_pages.mapInPandas(counted, site_pages.schema), spark.createDataFrame([("http://a.com/",)], "seed string"), KEYWORDS).count()
     assert many <= read.value <= 2 * many
+
+
+def test_resolving_runs_no_python_beside_the_parser(spark):
+    hrefs = ["/a", "//h/x", "b c", "/a/../b", "/.hid", "?q", "", "#f", "http://o.com/z", "mailto:x@y", "http://[bad", "/é", "/a b", "/x/.", "/u ", "../.."]
+    for url in ("http://a.com/p/q?r", "/no/origin", ""):
+        page = "".join(f'<a href="{h}">t</a>' for h in hrefs)
+        got = links.resolved(links.anchors(spark.createDataFrame([(1, url, page)], "page_id int, url string, html string")))
+        plain = links.resolved(spark.createDataFrame([(k, url, h) for k, h in enumerate(hrefs)], "ord int, url string, href string"))
+        assert "joined" not in got.columns and "ArrowEvalPython" not in planned(got)
+        assert [tuple(r) for r in got.orderBy("ord").select("href", "dst").collect()] == [tuple(r) for r in plain.orderBy("ord").select("href", "dst").collect()]
