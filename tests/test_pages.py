@@ -318,3 +318,18 @@ def test_resolving_runs_no_python_beside_the_parser(spark):
         plain = links.resolved(spark.createDataFrame([(k, url, h) for k, h in enumerate(hrefs)], "ord int, url string, href string"))
         assert "joined" not in got.columns and "ArrowEvalPython" not in planned(got)
         assert [tuple(r) for r in got.orderBy("ord").select("href", "dst").collect()] == [tuple(r) for r in plain.orderBy("ord").select("href", "dst").collect()]
+
+
+def test_spans_of_texts_take_no_exchange(spark, tmp_path):
+    tags = ["I-A", "B-X", "I-X", None, "I-Z", "O", "I-X", "B-X", "B-Y", "I-Z"]
+    rows = spark.createDataFrame([(d, k, f"t{k}", t) for d in (1, 2) for k, t in enumerate(tags)] + [(3, 0, "t", "O")], "doc_id long, pos int, token string, label string")
+    want = [(d, *s) for d in (1, 2) for s in [(1, "X", "t1 t2 t4"), (7, "X", "t7"), (8, "Y", "t8 t9")]]
+    assert sorted(tuple(r) for r in labels.spans(rows).collect()) == want
+    texts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "label"))).alias("tokens")).unionByName(spark.createDataFrame([(4, [])], "doc_id long, tokens array<struct<pos:int,token:string,label:string>>"))
+    assert sorted(tuple(r) for r in labels.spans(texts).collect()) == want
+    found = labels.with_context(spark.createDataFrame([(1, "c")], "doc_id long, context string"), rows)
+    assert found.columns == ["doc_id", "start", "type", "entity", "context", "confidence"] and found.count() == 3
+    spark.createDataFrame([(1, "a bb ccc", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spans, context = (planned(registry.queries()[n](spark, str(tmp_path))) for n in ("bio_spans", "entities_with_context"))
+    assert not any(x in spans for x in ("Window", "Aggregate", "Sort")) and not any(x in context for x in ("Window", "Aggregate"))
+    assert context.count("split(text") == 1
